@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash, token_output
 
 QUERIES = {
+    "op1_token_output": token_output.op1_token_output,
+    "op2_packing": packing.op2_packing,
     "op4_simhash": simhash.op4_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
