@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, token_output
+from . import exact_dedup, language_id, mixing, packing, simhash, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_packing": packing.op2_packing,
     "op4_simhash": simhash.op4_simhash,
+    "op6_mixing": mixing.op6_mixing,
+    "op8_language_id": language_id.op8_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
