@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_id, mixing, packing, simhash, token_output, url_filter
+from . import embeddings, exact_dedup, html_text, language_id, mixing, packing, simhash, token_output, url_filter
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_html_extraction": html_text.op5_html_extraction,
     "op6_mixing": mixing.op6_mixing,
+    "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_language_id": language_id.op8_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
