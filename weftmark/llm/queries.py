@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, html_text, language_id, mixing, packing, simhash, token_output, url_filter
+from . import embeddings, exact_dedup, html_text, language_id, mixing, packing, pii, simhash, token_output, url_filter
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_language_id": language_id.op8_language_id,
+    "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
