@@ -1,4 +1,381 @@
 """Queries of the engine, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftmark.functions import colors
+from weftmark.functions import text as T
+from weftmark.operators import audits, changes, fixes, graph, references, structure, symbols, views
+from weftmark.operators import tokens as design
+from weftmark.plans import findings, seeds
+from weftmark.plans.seeds import PART_PATH, table
+from weftmark.sources import corpus, markup
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = seeds.parts(spark, sf_dir)
+    return markup.nodes(files), files
+
+
+_TEXT_ONLY = r"regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '<\1></\1>', 'gs'), '<!--.*?-->', '', 'gs')"
+
+
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all({_TEXT_ONLY}, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
+SELECT lower(tag) AS tag, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1""")
+def tag_frequency(spark, sf_dir):
+    return markup.elements(markup.nodes(seeds.pages(spark, sf_dir))).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs'), '</?[a-zA-Z]+', 0) AS tags FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS path, CAST(len(list_filter(tags, lambda x: x = '<li')) AS BIGINT) AS items, CAST(len(list_filter(tags, lambda x: x = '<p')) AS BIGINT) AS paragraphs FROM w""")
+def page_outline(spark, sf_dir):
+    tree = markup.nodes(seeds.pages(spark, sf_dir))
+    return tree.groupBy("path").agg(F.count_if(F.col("tag") == "li").alias("items"), F.count_if(F.col("tag") == "p").alias("paragraphs"))
+
+
+@query(r"""WITH u AS (SELECT regexp_extract(html, '<ul>(.*?)</ul>', 1, 's') AS body FROM pages), s AS (SELECT 'ul(' || array_to_string(list_transform(range(CAST(len(regexp_extract_all(body, '<li>')) AS BIGINT)), lambda x: 'li(a)'), ',') || ')' AS shape, CAST(2 * len(regexp_extract_all(body, '<li>')) + 1 AS BIGINT) AS size FROM u)
+SELECT substr(sha256(shape), 1, 16) AS fingerprint, shape, size, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY shape, size""")
+def page_list_shapes(spark, sf_dir):
+    own = markup.nodes(seeds.pages(spark, sf_dir)).where("tag = 'ul'")
+    return own.groupBy(structure.fingerprint("shape").alias("fingerprint"), "shape", F.col("shape_size").cast("long").alias("size")).agg(F.count("*").alias("n"))
+
+
+@query()
+def page_shapes(spark, sf_dir):
+    found = structure.shape_patterns(markup.nodes(seeds.pages(spark, sf_dir)))
+    return found.select("fingerprint", "shape", "size", "count", F.size("files").alias("files"))
+
+
+@query()
+def page_similarity(spark, sf_dir):
+    tokens = markup.tag_tokens(markup.nodes(seeds.pages(spark, sf_dir)))
+    return structure.similar_pairs(tokens, 0.9).groupBy("shared", "total").agg(F.count("*").alias("pairs"))
+
+
+@query(f"""WITH d AS (SELECT o.o_orderkey AS k, list_sort(list(DISTINCT l.l_suppkey % 40)) AS s FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey % 7 = 0 GROUP BY 1 HAVING count(*) >= 3),
+e AS (SELECT k, unnest(s) AS g FROM d), p AS (SELECT a.k AS file_a, b.k AS file_b, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2)
+SELECT CAST(file_a AS BIGINT) AS file_a, CAST(file_b AS BIGINT) AS file_b, CAST(shared AS BIGINT) AS shared, CAST(len(x.s) + len(y.s) - shared AS BIGINT) AS total FROM p JOIN d x ON x.k = file_a JOIN d y ON y.k = file_b WHERE shared::DOUBLE / (len(x.s) + len(y.s) - shared) >= 0.7""")
+def set_similarity(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 7 == 0)
+    sets = lines.groupBy(F.col("l_orderkey").alias("path")).agg(F.collect_list((F.col("l_suppkey") % 40).cast("string")).alias("tokens"))
+    found = structure.similar_pairs(sets.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path")), "path"), 0.7, n=1, min_tokens=3)
+    return found.select(F.col("file_a").cast("long"), F.col("file_b").cast("long"), F.col("shared").cast("long"), F.col("total").cast("long"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 97 AS a, l_suppkey % 97 + 100 * (1 + l_suppkey % 5) AS b FROM lineitem), s AS (SELECT a AS n FROM e UNION SELECT b FROM e),
+r(n, m) AS (SELECT n, n FROM s UNION SELECT CASE WHEN e.a = r.n THEN e.b ELSE e.a END, r.m FROM r JOIN e ON e.a = r.n OR e.b = r.n)
+SELECT CAST(n AS BIGINT) AS node, CAST(min(m) AS BIGINT) AS component FROM r GROUP BY 1""")
+def connected_components(spark, sf_dir):
+    k = F.col("l_suppkey")
+    edges = table(spark, sf_dir, "lineitem").select((k % 97).alias("a"), (k % 97 + 100 * (1 + k % 5)).alias("b")).distinct()
+    return graph.components(edges).select(F.col("node").cast("long"), F.col("component").cast("long"))
+
+
+@query(f"SELECT {PART_PATH} AS path, 2 AS line, 6 AS \"column\", 'style=\"top: ' || p_partkey || 'px\"' AS value FROM part WHERE p_partkey % 3 = 0")
+def inline_style(spark, sf_dir):
+    return views.inline_style(*_drift(spark, sf_dir)).drop("rule")
+
+
+@query(f"SELECT {PART_PATH} AS path, 3 AS line, 13 AS \"column\", '#' || lower(lpad(printf('%X', (p_partkey * 7919) % 16777216), 6, '0')) AS value FROM part WHERE p_partkey % 4 = 0")
+def raw_color(spark, sf_dir):
+    return views.raw_color(_drift(spark, sf_dir)[0]).drop("rule")
+
+
+@query(f"SELECT {PART_PATH} AS path, 4 AS line, 15 AS \"column\", p_partkey || 'px' AS value FROM part WHERE p_partkey % 5 = 0")
+def tailwind_arbitrary(spark, sf_dir):
+    return views.tailwind_arbitrary(_drift(spark, sf_dir)[0]).drop("rule")
+
+
+@query(f"SELECT {PART_PATH} AS path, 6 AS line, 1 AS \"column\", 'button' AS value FROM part WHERE p_partkey % 7 = 1")
+def helper_recommended(spark, sf_dir):
+    return views.helper_recommended(_drift(spark, sf_dir)[0]).drop("rule")
+
+
+@query(f"SELECT {PART_PATH} AS path, 5 AS line, 1 AS \"column\", 'img' AS value FROM part WHERE p_partkey % 6 = 0")
+def image_alt(spark, sf_dir):
+    return views.image_alt(_drift(spark, sf_dir)[0]).drop("rule")
+
+
+@query(f"SELECT {PART_PATH} AS path, 6 AS line, 1 AS \"column\", 'button' AS value FROM part WHERE p_partkey % 7 = 0")
+def button_name(spark, sf_dir):
+    return views.button_name(_drift(spark, sf_dir)[0]).drop("rule")
+
+
+@query(f"SELECT {PART_PATH} AS path, 7 AS line, 1 AS \"column\", 'a' AS value FROM part WHERE p_partkey % 8 = 0")
+def link_name(spark, sf_dir):
+    return views.link_name(_drift(spark, sf_dir)[0]).drop("rule")
+
+
+@query(f"SELECT {PART_PATH} AS path, 8 AS line, 1 AS \"column\", 'input' AS value FROM part WHERE p_partkey % 9 = 0")
+def input_label(spark, sf_dir):
+    return views.input_label(_drift(spark, sf_dir)[0]).drop("rule")
+
+
+@query("SELECT 'b' AS tag, 'v' || (p_partkey % 2) || ' w x y z' AS classes, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_partkey % 10 < 3 GROUP BY 2 HAVING count(*) >= 3")
+def class_clusters(spark, sf_dir):
+    found = structure.class_clusters(_drift(spark, sf_dir)[0])
+    return found.select("tag", F.array_join("classes", " ").alias("classes"), F.col("count").alias("n"))
+
+
+_SETS = "SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds FROM events GROUP BY user_id"
+
+
+@query(f"WITH s AS ({_SETS}) SELECT array_to_string(kinds, ',') AS kinds, CAST(count(*) AS BIGINT) AS n FROM s WHERE len(kinds) >= 2 GROUP BY 1 HAVING count(*) >= 3")
+def set_clusters(spark, sf_dir):
+    sets = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds")).where(F.size("kinds") >= 2)
+    return sets.groupBy(F.array_join("kinds", ",").alias("kinds")).agg(F.count("*").alias("n")).where("n >= 3")
+
+
+_T = "t AS (SELECT s_suppkey AS k, 'c' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 4 * 7919 ELSE s_suppkey * 4 * 7919 + 2 END % 16777216 AS v FROM supplier), l AS (SELECT p_partkey, (p_partkey * 7919) % 16777216 AS v FROM part)"
+_DIST = "greatest(abs((l.v // 65536) - (t.v // 65536)), abs((l.v // 256) % 256 - (t.v // 256) % 256), abs(l.v % 256 - t.v % 256))"
+
+
+@query(f"WITH {_T} SELECT p_partkey, arg_max(t.name, t.k) AS token FROM l JOIN t USING (v) GROUP BY 1")
+def token_exact(spark, sf_dir):
+    found = colors.match_tokens(seeds.literals(spark, sf_dir), seeds.tokens(spark, sf_dir), near=False)
+    return found.where("match_kind = 'exact'").select("p_partkey", F.col("match_name").alias("token"))
+
+
+@query(f"WITH {_T}, x AS (SELECT p_partkey FROM l JOIN t USING (v)), n AS (SELECT p_partkey, t.name, t.k, {_DIST} AS d FROM l JOIN t ON {_DIST} BETWEEN 1 AND 4 WHERE p_partkey NOT IN (SELECT p_partkey FROM x)) SELECT p_partkey, arg_min(name, d * 100000000 + k) AS token, CAST(min(d) AS INTEGER) AS distance FROM n GROUP BY 1")
+def token_near(spark, sf_dir):
+    found = colors.match_tokens(seeds.literals(spark, sf_dir), seeds.tokens(spark, sf_dir))
+    return found.where("match_kind = 'near'").select("p_partkey", F.col("match_name").alias("token"), F.col("match_distance").alias("distance"))
+
+
+@query(f"""WITH {_T}, m AS (SELECT p_partkey, CASE WHEN t.k % 3 = 0 THEN 0 ELSE 1 END AS layer, {_DIST} AS d, t.k, t.name FROM l JOIN t ON {_DIST} <= 4),
+b AS (SELECT p_partkey, layer, min(d) AS d FROM m GROUP BY 1, 2), f AS (SELECT p_partkey, min(layer) AS layer FROM b GROUP BY 1)
+SELECT f.p_partkey, CASE WHEN f.layer = 0 THEN 'tailwind' ELSE 'css_var' END AS syntax, CASE WHEN b.d = 0 THEN (SELECT arg_max(name, k) FROM m WHERE m.p_partkey = f.p_partkey AND m.layer = f.layer AND m.d = 0) ELSE (SELECT arg_min(name, k) FROM m WHERE m.p_partkey = f.p_partkey AND m.layer = f.layer AND m.d = b.d) END AS token
+FROM f JOIN b ON b.p_partkey = f.p_partkey AND b.layer = f.layer""")
+def token_layered(spark, sf_dir):
+    found = colors.layered(seeds.literals(spark, sf_dir), seeds.tokens(spark, sf_dir), ["tailwind", "css_var"])
+    return found.where("match_name IS NOT NULL").select("p_partkey", F.col("match_syntax").alias("syntax"), F.col("match_name").alias("token"))
+
+
+@query("SELECT p_partkey, '#' || lower(lpad(printf('%X', (p_partkey * 7919) % 16777216), 6, '0')) AS norm, CAST(greatest(abs(((p_partkey * 7919) % 16777216) // 65536 - 16), abs(((p_partkey * 7919) // 256) % 256 - 32), abs((p_partkey * 7919) % 256 - 48)) AS INTEGER) AS distance FROM part")
+def color_distance(spark, sf_dir):
+    own = seeds.literals(spark, sf_dir).withColumn("value", F.upper("value"))
+    return own.select("p_partkey", colors.normal_hex("value").alias("norm"), colors.hex_distance("value", F.lit("#102030ff")).alias("distance"))
+
+
+def _keys(spark, sf_dir):
+    refs = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 3).alias("name"))
+    return refs, table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("name"))
+
+
+@query("SELECT DISTINCT l_partkey * 3 AS name FROM lineitem WHERE l_partkey * 3 NOT IN (SELECT p_partkey * 2 FROM part)")
+def orphaned_refs(spark, sf_dir):
+    return references.missing(*_keys(spark, sf_dir))
+
+
+@query("SELECT p_partkey * 2 AS name FROM part WHERE p_partkey * 2 NOT IN (SELECT l_partkey * 3 FROM lineitem)")
+def dead_defs(spark, sf_dir):
+    return references.missing(*reversed(_keys(spark, sf_dir)))
+
+
+def _components(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    base = table(spark, sf_dir, "supplier").select("s_suppkey", k.alias("k"))
+    cls = base.select(F.concat(F.lit("app/components/x/"), F.col("k"), F.lit("_component.rb")).alias("path"), F.concat(F.lit("class X\n  renders_one :title"), F.col("k"), F.lit("\n  renders_many :rows\nend\n")).alias("content"))
+    preview = base.where("s_suppkey % 3 <> 0").select(F.concat(F.lit("spec/components/previews/x/"), F.col("k"), F.lit("_component_preview.rb")).alias("path"), F.lit("").alias("content"))
+    view = base.where("s_suppkey % 4 <> 0").select(F.concat(F.lit("app/components/x/"), F.col("k"), F.lit("_component.html.erb")).alias("path"), F.when(F.col("s_suppkey") % 5 == 0, F.lit("<%= title %>")).otherwise(F.concat(F.lit("<%= title"), F.col("k"), F.lit(' %><div data-controller="c'), (F.col("s_suppkey") % 10).cast("string"), F.lit(' d"></div>'))).alias("content"))
+    script = base.where("s_suppkey % 2 = 0").select(F.concat(F.lit("app/javascript/controllers/c"), (F.col("s_suppkey") % 14).cast("string"), F.lit("_controller.js")).alias("path"), F.lit("").alias("content")).distinct()
+    return cls.unionByName(preview).unionByName(view).unionByName(script)
+
+
+@query("SELECT 'x/' || s_suppkey AS name FROM supplier WHERE s_suppkey % 3 = 0")
+def missing_pairs(spark, sf_dir):
+    return references.missing_previews(_components(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT 'x/' || s_suppkey AS component, 'title' || s_suppkey AS slot, 'renders_one' AS slot_kind, 2 AS line FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 UNION ALL SELECT 'x/' || s_suppkey, 'rows', 'renders_many', 3 FROM supplier)
+SELECT component, slot, slot_kind, 'app/components/' || component || '_component.rb' AS file, line FROM s""")
+def orphan_slots(spark, sf_dir):
+    return references.orphan_slots(_components(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT DISTINCT 'c' || (s_suppkey % 14) AS name FROM supplier WHERE s_suppkey % 2 = 0), r AS (SELECT DISTINCT unnest(['c' || (s_suppkey % 10), 'd']) AS name FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0)
+SELECT 'orphaned' AS status, name FROM r WHERE name NOT IN (SELECT name FROM d) UNION ALL SELECT 'dead', name FROM d WHERE name NOT IN (SELECT name FROM r)""")
+def controller_audit(spark, sf_dir):
+    return references.controller_audit(_components(spark, sf_dir))
+
+
+@query("""SELECT 'orphaned' AS status, 'd' AS name, 'app/components/x/' || s_suppkey || '_component.html.erb' AS file, 1 AS line FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0""")
+def controller_locations(spark, sf_dir):
+    files = _components(spark, sf_dir)
+    return references.controller_locations(files, references.controller_audit(files)).where("name = 'd'")
+
+
+def _sheets(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("/* #aaa\n#bbb */ a { color: "), seeds.color(k, 7919), F.lit("; } // #ccc\n--x: #ddd;\n"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("app/assets/stylesheets/"), F.when(k % 4 == 0, "vendor/").otherwise(""), k.cast("string"), F.lit(".css")).alias("path"), text.alias("content"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 4 * 7919 ELSE s_suppkey * 4 * 7919 + 2 END % 16777216 AS v FROM supplier)
+SELECT 'app/assets/stylesheets/' || s.s_suppkey || '.css' AS path, 2 AS line, 20 AS "column", '#' || lower(lpad(printf('%X', (s.s_suppkey * 7919) % 16777216), 6, '0')) AS value, (SELECT arg_max('c' || k, k) FROM t WHERE t.v = (s.s_suppkey * 7919) % 16777216) AS token FROM supplier s WHERE s.s_suppkey % 4 <> 0""")
+def stylesheet_drift(spark, sf_dir):
+    return design.stylesheet_drift(_sheets(spark, sf_dir), seeds.tokens(spark, sf_dir))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS files_scanned, CAST(count(*) AS BIGINT) AS custom_property_files, CAST(0 AS BIGINT) AS scss_variable_files, CAST(0 AS BIGINT) AS raw_hex_files, 'css_custom_properties' AS strategy FROM supplier WHERE s_suppkey % 4 <> 0")
+def stack_evidence(spark, sf_dir):
+    return design.stack_evidence(_sheets(spark, sf_dir))
+
+
+@query("SELECT 'x' AS name, '#ddd' AS value, 'css_var' AS syntax, 'app/assets/stylesheets/' || CASE WHEN s_suppkey % 4 = 0 THEN 'vendor/' ELSE '' END || s_suppkey || '.css' AS file, 3 AS line FROM supplier")
+def token_definitions(spark, sf_dir):
+    return design.defined(_sheets(spark, sf_dir)).drop("ordinal")
+
+
+@query("""SELECT 'dark-' || s_suppkey AS name, '#0' || (s_suppkey % 10) || 'f' AS value, 'tailwind' AS syntax FROM supplier UNION ALL SELECT 'x' || s_suppkey, 'red', 'tailwind' FROM supplier""")
+def tailwind_colors(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("theme: { colors: { ...base, dark: { "), k.cast("string"), F.lit(": '#0"), (k % 10).cast("string"), F.lit("f' }, 'x"), k.cast("string"), F.lit("': \"red\", y: f(1) } }"))
+    return design.tailwind(table(spark, sf_dir, "supplier").select(k.cast("string").alias("path"), text.alias("content"))).select("name", "value", "syntax")
+
+
+@query(f"""SELECT {PART_PATH} AS path, CASE WHEN p_partkey % 11 = 0 THEN 12 ELSE 11 END AS line, 4 AS "column", '✓' AS snippet, 'U+2713' AS codepoints, 'glyph' AS tier FROM part WHERE p_partkey % 12 = 0
+UNION ALL SELECT {PART_PATH}, CASE WHEN p_partkey % 11 = 0 THEN 12 ELSE 11 END, 11, '📄', 'U+1F4C4', 'emoji' FROM part WHERE p_partkey % 12 = 0""")
+def emoji_icons(spark, sf_dir):
+    return symbols.scan(seeds.parts(spark, sf_dir))
+
+
+@query("SELECT '✓' AS snippet, 'check' AS sprite_name, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_partkey % 12 = 0 UNION ALL SELECT '📄', 'document', CAST(count(*) AS BIGINT) FROM part WHERE p_partkey % 12 = 0")
+def sprite_hints(spark, sf_dir):
+    icons = spark.range(3).select(F.get(F.array(F.lit("document"), F.lit("check"), F.lit("checkmark")), F.col("id").cast("int")).alias("name"))
+    return symbols.with_hints(symbols.scan(seeds.parts(spark, sf_dir)), icons).groupBy("snippet", "sprite_name").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {PART_PATH} AS path, 10 AS line, 1 AS \"column\", '<svg>' AS snippet FROM part WHERE p_partkey % 11 = 0")
+def inline_svg(spark, sf_dir):
+    return references.inline_svgs(seeds.parts(spark, sf_dir))
+
+
+def _icons(spark, sf_dir):
+    k = F.col("s_suppkey")
+    svg = F.concat(F.lit("<svg"), F.when(k % 2 == 0, ' viewBox="0 0 9 9"').otherwise(""), F.lit("> <path d='"), k.cast("string"), F.lit("'/> </svg>"))
+    icons = table(spark, sf_dir, "supplier").select(F.concat(F.lit("app/assets/images/icons/i"), k.cast("string"), F.lit(".svg")).alias("path"), svg.alias("content"))
+    views_ = table(spark, sf_dir, "supplier").select(F.concat(F.lit("app/views/"), k.cast("string"), F.lit(".html.erb")).alias("path"), F.concat(F.lit('<use href="#icon-i'), (k * 2).cast("string"), F.lit('"/>')).alias("content"))
+    return icons.unionByName(views_)
+
+
+@query("""WITH i AS (SELECT 'i' || s_suppkey AS name FROM supplier), u AS (SELECT 'i' || s_suppkey * 2 AS name FROM supplier)
+SELECT 'dead' AS status, name FROM i WHERE name NOT IN (SELECT name FROM u) UNION ALL SELECT 'unknown', name FROM u WHERE name NOT IN (SELECT name FROM i)""")
+def icon_audit(spark, sf_dir):
+    return references.icon_audit(_icons(spark, sf_dir))
+
+
+@query("SELECT 'i' || s_suppkey AS name, '<symbol id=\"icon-i' || s_suppkey || '\" viewBox=\"' || CASE WHEN s_suppkey % 2 = 0 THEN '0 0 9 9' ELSE '0 0 24 24' END || '\"><path d=''' || s_suppkey || '''/></symbol>' AS symbol FROM supplier")
+def icon_sprite(spark, sf_dir):
+    return references.sprite_symbols(corpus.icon_sources(_icons(spark, sf_dir)))
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def json_flatten(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_type", F.from_json("props", "struct<k:long>")["k"].alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'r' || (event_id % 5) AS rule, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'moderate' WHEN 2 THEN 'minor' END AS impact, 'u' || event_id AS url, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '#' || event_id END AS selector, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 2 THEN 'suggestion' ELSE 'warning' END AS severity, event_id % 4 <> 3 AS failing FROM events""")
+def deep_json_flatten(spark, sf_dir):
+    k = F.col("event_id")
+    s = lambda c: c.cast("string")
+    impact = F.when(k % 4 == 0, '"critical"').when(k % 4 == 1, '"moderate"').when(k % 4 == 2, '"minor"').otherwise("null")
+    target = F.when(k % 3 == 0, "[]").otherwise(F.concat(F.lit('["#'), s(k), F.lit('"]')))
+    text = F.concat(F.lit('{"url":"u'), s(k), F.lit('","violations":[{"id":"r'), s(k % 5), F.lit('","impact":'), impact, F.lit(',"description":"d","nodes":[{"target":'), target, F.lit("}]}]}"))
+    pages = corpus.accessibility_pages(table(spark, sf_dir, "events").select(text.alias("value")))
+    return audits.deep_accessibility(pages).select("rule", "impact", "url", "selector", "severity", "failing")
+
+
+@query("SELECT 's/' || event_id AS scenario, 's/' || event_id || '.png' AS baseline_path, event_id % 3 = 0 OR (event_id % 3 = 2) AS failing FROM events WHERE event_id % 2 = 0")
+def visual_diff_failing(spark, sf_dir):
+    k = F.col("event_id")
+    paths = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("s/"), k.cast("string"), F.when(k % 2 == 0, ".diff.png").otherwise(".heatmap.diff.png")).alias("path"))
+    diffs = corpus.screenshot_diffs(paths).withColumn("n", F.regexp_extract("scenario", r"(\d+)$", 1).cast("long"))
+    rated = diffs.withColumn("mismatch_ratio", F.when(F.col("n") % 3 == 1, 0.1).when(F.col("n") % 3 == 2, 0.3))
+    return audits.visual_findings(rated, 0.2).select("scenario", "baseline_path", "failing")
+
+
+@query("""WITH b AS (SELECT l_returnflag AS f, l_linenumber AS n, count(*) AS c FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2), w AS (SELECT l_orderkey, l_returnflag, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_orderkey) AS rn FROM lineitem WHERE l_orderkey % 2 = 1 OR l_orderkey % 3 = 0)
+SELECT l_orderkey, l_returnflag, l_linenumber FROM w LEFT JOIN b ON f = l_returnflag AND n = l_linenumber WHERE rn > coalesce(c, 0)""")
+def introduced_drift(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber")
+    now = lines.where("l_orderkey % 2 = 1 OR l_orderkey % 3 = 0")
+    return changes.introduced(lines.where("l_orderkey % 2 = 0"), now, ["l_returnflag", "l_linenumber"], ["l_orderkey"])
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    tree, files = _drift(spark, sf_dir)
+    tree = tree.cache()
+    drift = findings.of_views(views.with_snippets(views.view_drift(tree, files), files))
+    return findings.union(drift, findings.of_accessibility(views.with_snippets(views.accessibility(tree), files)), findings.of_clusters(structure.class_clusters(tree)))
+
+
+_RULES = (("inline_style", "warning", "p_partkey % 3 = 0"), ("raw_color", "error", "p_partkey % 4 = 0"), ("tailwind_arbitrary", "error", "p_partkey % 5 = 0"), ("helper_recommended", "warning", "p_partkey % 7 = 1"), ("a11y (static)", "error", "p_partkey % 6 = 0"), ("a11y (static)", "error", "p_partkey % 7 = 0"), ("a11y (static)", "error", "p_partkey % 8 = 0"), ("a11y (static)", "error", "p_partkey % 9 = 0"))
+_CLUSTERS = "c AS (SELECT p_partkey % 2 AS b FROM part WHERE p_partkey % 10 < 3 GROUP BY 1 HAVING count(*) >= 3)"
+_EACH = " UNION ALL ".join(f"SELECT '{c}' AS category, '{s}' AS severity, p_partkey FROM part WHERE {w}" for c, s, w in _RULES)
+
+
+@query(f"WITH {_CLUSTERS}, f AS (SELECT category, severity FROM ({_EACH}) UNION ALL SELECT 'class-itis', 'suggestion' FROM c) SELECT severity, category, CAST(count(*) AS BIGINT) AS count FROM f GROUP BY 1, 2")
+def severity_rollup(spark, sf_dir):
+    return findings.by_category(_findings(spark, sf_dir))
+
+
+@query(f"WITH {_CLUSTERS}, f AS ({_EACH}), g AS (SELECT {PART_PATH.replace('p_partkey', 'f.p_partkey')} AS file, CASE severity WHEN 'error' THEN 0 ELSE 1 END AS r FROM f UNION ALL SELECT DISTINCT {PART_PATH}, 2 FROM part JOIN c ON c.b = p_partkey % 2 WHERE p_partkey % 10 < 3) SELECT file, CAST(count(*) AS BIGINT) AS count, ['error', 'warning', 'suggestion'][min(r) + 1] AS worst FROM g GROUP BY 1")
+def file_rollup(spark, sf_dir):
+    return findings.by_file(_findings(spark, sf_dir))
+
+
+@query(f"WITH f AS ({_EACH}) SELECT category, CAST(count(*) AS BIGINT) AS n FROM f WHERE severity = 'error' GROUP BY 1")
+def severity_floor(spark, sf_dir):
+    return findings.at_least(_findings(spark, sf_dir), "errors").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CLUSTERS}, f AS (SELECT severity, category FROM ({_EACH}) UNION ALL SELECT 'suggestion', 'class-itis' FROM c) SELECT s.severity, CAST(count(DISTINCT category) AS BIGINT) AS categories, CAST(count(category) AS BIGINT) AS total FROM (VALUES ('error'), ('warning'), ('suggestion')) s(severity) LEFT JOIN f ON f.severity = s.severity GROUP BY 1")
+def severity_totals(spark, sf_dir):
+    return findings.by_severity(_findings(spark, sf_dir))
+
+
+@query(f"WITH f AS ({_EACH}) SELECT category, CAST(count(*) AS BIGINT) AS n FROM f WHERE p_partkey % 20 = 7 GROUP BY 1")
+def finding_filter(spark, sf_dir):
+    return findings.containing(_findings(spark, sf_dir).where("category <> 'class-itis'"), "APP/VIEWS/P7/").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT true AS failing")
+def run_fails(spark, sf_dir):
+    return findings.failing(_findings(spark, sf_dir))
+
+
+@query("SELECT 'v' || (p_partkey % 2) || ' w x y z' AS classes, 10 AS shown, CAST(count(*) - 10 AS INTEGER) AS more FROM part WHERE p_partkey % 10 < 3 GROUP BY 1")
+def top_occurrences(spark, sf_dir):
+    found = findings.top_locations(_findings(spark, sf_dir).where("category = 'class-itis'"))
+    return found.select(F.get("details", F.lit(0))["value"].alias("classes"), F.size("shown").alias("shown"), "more")
+
+
+@query(f"""WITH {_T}, m AS (SELECT p_partkey, min(name) AS any_name, arg_max(t.name, t.k) AS token FROM l JOIN t USING (v) WHERE t.k % 3 <> 0 GROUP BY 1)
+SELECT {PART_PATH.replace('p_partkey', 'm.p_partkey')} AS path, '<rect fill="var(--' || token || ')" data-id="#123"></rect>' AS line FROM m WHERE p_partkey % 4 = 0""")
+def auto_fix(spark, sf_dir):
+    tree, files = _drift(spark, sf_dir)
+    own = fixes.fixable(views.raw_color(tree), seeds.tokens(spark, sf_dir))
+    return fixes.apply(files, own).select("path", F.get(T.lines("content"), F.lit(2)).alias("line"))
+
+
+@query("SELECT s_suppkey AS k, 'a-' || s_suppkey || '--b-c' AS controller, 'admin/card_item' AS component FROM supplier")
+def name_keys(spark, sf_dir):
+    k = F.col("s_suppkey")
+    path = F.concat(F.lit("app/javascript/controllers/old/controllers/a_"), k.cast("string"), F.lit("/b_c_controller.ts"))
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), T.controller_name(path).alias("controller"), T.component_path(F.lit("Admin::CardItem")).alias("component"))
