@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, slices, small_batches, spread, table
 from .tokens import public_path, tokenizer
 
-SCALE_BITS, LANES, CHECKPOINT_STEPS, LOW = 18, 512, 128, 1 << 31
+SCALE_BITS, LANES, CHECKPOINT_STEPS, LOW = 18, 4096, 128, 1 << 31
 _HEAD = struct.Struct("<4sIII")
 
 
@@ -62,9 +62,10 @@ class Coder:
         self.first = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
         self._symbols: np.ndarray | None = None
 
-    def encode(self, ids: np.ndarray, lanes: int = LANES, checkpoint_steps: int = CHECKPOINT_STEPS) -> bytes:
-        """A block of the given ids."""
+    def encode(self, ids: np.ndarray, lanes: int | None = None, checkpoint_steps: int = CHECKPOINT_STEPS) -> bytes:
+        """A block of the given ids; small blocks get fewer lanes, so that their states do not outweigh their words."""
         count = len(ids)
+        lanes = lanes or min(LANES, 1 << max(3, (count // 64).bit_length()))
         steps = -(-count // lanes)
         state = np.full(lanes, LOW, dtype=np.uint64)
         words: list[np.ndarray] = []
@@ -185,7 +186,7 @@ def _encode(freq: np.ndarray, dtype: str, block_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, target: str, path: str | None = None, kind: str = "byte", end_id: int = 2, block_ids: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, target: str, path: str | None = None, kind: str = "byte", end_id: int = 2, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of docs in the module's file format to the folder `target`, in ascending order of id.
 
     Null texts count as empty: the end id alone. Null ids come first. Repeated rows are written as often as they
