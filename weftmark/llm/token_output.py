@@ -205,7 +205,8 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, kind: st
         counts[row.id] = row.n
     freq = frequencies(counts)
     shared = spark.sparkContext.broadcast(freq)
-    ordered = ids.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id")
+    files = max(spread(docs), int(counts.sum()) >> 26)  # so that a file holds about 2^26 ids at any size
+    ordered = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(_encode(shared, dtype, block_ids), _BLOCK).write.option("compression", "none").parquet(f"{target}/blocks")
     spark.createDataFrame([(SCALE_BITS, freq.astype("<u4").tobytes())], "bits int, freq binary").coalesce(1).write.parquet(f"{target}/tables")
     space.drop("ids")
