@@ -12,21 +12,18 @@ from pyspark.sql import functions as F
 from .common import Workspace, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 1 << 14
-#: Shares of characters that the classifier reads beside words: name, characters counted.
-_SHARES = {"marks": "!#$%&*|", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789"}
+BUCKETS = 1 << 18
+#: Shares of characters that the classifier reads beside words: name, pattern of the characters counted.
+_SHARES = {"marks": r"[!#$%&*|]", "capitals": "[A-Z]"}
+#: Posteriors are rounded to this part of one, so that documents with like posteriors can be summed up for the fit.
+GRAIN = 1000
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
-def _share(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))) / F.greatest(F.length(text), F.lit(1))
+def _features(text: Column) -> list[Column]:
+    """words: buckets of the runs of ASCII letters and digits of the lower-cased text, with repeats; and the shares."""
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+    words = F.transform(F.split(F.lower(text), r"\W+"), bucket)
+    return [words.alias("words"), *((F.regexp_count(text, F.lit(p)) / F.greatest(F.length(text), F.lit(1))).alias(n) for n, p in _SHARES.items())]
 
 
 @dataclass
@@ -35,28 +32,33 @@ class DomainModel:
 
     domains: list[str]
     prior: list[float] = field(default_factory=list)
-    words: list[list[float]] = field(default_factory=list)  # a weight for each bucket, by domain
+    telling: list[int] = field(default_factory=list)  # buckets whose words tell domains apart
+    words: list[list[float]] = field(default_factory=list)  # a weight for each telling bucket, by domain
     shares: list[dict[str, tuple[float, float]]] = field(default_factory=list)  # mean, deviation
 
-    def posteriors(self, text: Column) -> Column:
-        """array<double>: the probability of each domain, in the order of `domains`."""
-        if len(self.domains) == 1:
-            return F.array(F.lit(1.0))
-        buckets = F.transform(F.array_distinct(_words(text)), _bucket)
+    def logs(self) -> Column:
+        """array<double>: log-likelihood and prior of each domain, from the columns `words` and the shares."""
+        folded = lambda values: F.split(F.lit(",".join(values)), ",")  # noqa: E731  a constant once the plan is optimised
+        place = ["0"] * BUCKETS
+        for i, b in enumerate(self.telling):
+            place[b] = str(i + 1)
+        known = folded(place).cast("array<int>")
+        found = F.array_distinct(F.filter(F.transform("words", lambda b: F.get(known, b)), lambda i: i > 0))
         logs = []
         for prior, weights, shares in zip(self.prior, self.words, self.shares):
-            table = F.split(F.lit(",".join(f"{w:.6g}" for w in weights)), ",").cast("array<double>")  # folded to a constant
-            log = F.lit(math.log(prior)) + F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
+            table = folded([f"{w:.6g}" for w in weights] or ["0"]).cast("array<double>")
+            log = F.lit(math.log(prior)) + F.aggregate(found, F.lit(0.0), lambda a, i: a + F.get(table, i - 1))
             for name, (mean, deviation) in shares.items():
-                log = log - F.pow((_share(text, _SHARES[name]) - mean) / deviation, 2) / 2 - math.log(deviation)
+                log = log - F.pow((F.col(name) - mean) / deviation, 2) / 2 - math.log(deviation)
             logs.append(log)
-        return F.transform(F.array(*logs), lambda x: x)
+        return F.array(*logs)
 
 
 def softmax(logs: str) -> Column:
     top = F.array_max(logs)
     powers = F.transform(logs, lambda x: F.exp(F.greatest(x - top, F.lit(-700.0))))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    rounded = F.transform(powers, lambda p: F.round(p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b) * GRAIN))
+    return F.transform(rounded, lambda p: p / F.aggregate(rounded, F.lit(0.0), lambda a, b: a + b))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
@@ -73,32 +75,33 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
     grid = 1_000_000
     known = known.where(F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(grid)) < min(grid, -(-grid * most // total)))
     text = F.col(text_col)
-    sample = docs.select(id_col, text.cast("string").alias(text_col)).where(text.isNotNull()).join(known, id_col)
+    sample = docs.select(id_col, text.cast("string").alias("text")).where("text IS NOT NULL").join(known, id_col).select("domain", *_features(F.col("text")))
     stats = []
-    for name, chars in _SHARES.items():
-        stats += [F.avg(_share(text, chars)).alias(f"{name}_mean"), F.stddev_pop(_share(text, chars)).alias(f"{name}_dev")]
+    for name in _SHARES:
+        stats += [F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_dev")]
     of = {r.domain: r for r in sample.groupBy("domain").agg(F.count("*").alias("n"), *stats).collect()}  # a row a domain
     domains = sorted(of)
     if not domains:
         return DomainModel(["all"])
     n = {d: of[d].n for d in domains}
     every = sum(n.values())
-    seen = {d: [0] * BUCKETS for d in domains}
-    counts = sample.select("domain", F.explode(F.array_distinct(F.transform(_words(text), _bucket))).alias("b")).groupBy("domain", "b").count()
-    for r in counts.toLocalIterator():  # at most BUCKETS rows a domain
-        seen[r.domain][r.b] = r["count"]
-    words = []
-    for d in domains:
+    held = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
+    counts = sample.select("domain", F.explode(F.array_distinct("words")).alias("b")).groupBy("b").agg(F.count("*").alias("all"), *held).where(F.col("all") >= 20)
+    telling, words = [], [[] for _ in domains]
+    for r in sorted(counts.toLocalIterator()):  # at most BUCKETS rows
         weights = []
-        for b in range(BUCKETS):
-            here, there = seen[d][b], sum(seen[e][b] for e in domains) - seen[d][b]
+        for i, d in enumerate(domains):
+            here, there = r[f"n{i}"], r["all"] - r[f"n{i}"]
             p, q = (here + 0.5) / (n[d] + 1), (there + 0.5) / (every - n[d] + 1)
             pooled = (here + there + 1) / (every + 2)
             error = math.sqrt(pooled * (1 - pooled) * (1 / n[d] + 1 / max(1, every - n[d])))
-            weights.append(math.log(p / q) if abs(p - q) > 4 * error and here + there >= 20 else 0.0)
-        words.append(weights)
+            weights.append(math.log(p / q) if abs(p - q) > 4 * error else 0.0)
+        if any(weights):
+            telling.append(r.b)
+            for own, w in zip(words, weights):
+                own.append(w)
     shares = [{name: (of[d][f"{name}_mean"], max(of[d][f"{name}_dev"] or 0.0, 0.01)) for name in _SHARES} for d in domains]
-    return DomainModel(domains, [n[d] / every for d in domains], words, shares)
+    return DomainModel(domains, [n[d] / every for d in domains], telling, words, shares)
 
 
 def _rate(posterior: Column, steps: list[tuple[list[float], float]]) -> Column:
@@ -113,34 +116,29 @@ def _rate(posterior: Column, steps: list[tuple[list[float], float]]) -> Column:
     return F.aggregate(moves, start, lambda a, s: F.struct(moved(a, s).alias("r"), (moved(a, s) + s["b"] * (moved(a, s) - a["r"])).alias("y")))
 
 
-def _solve(m: list[list[float]], y: list[float]) -> list[float]:
-    """The solution of m x = y, by elimination with pivots."""
-    k, rows = len(y), [[*r, v] for r, v in zip(m, y)]
-    for i in range(k):
-        p = max(range(i, k), key=lambda r: abs(rows[r][i]))
-        rows[i], rows[p] = rows[p], rows[i]
-        for r in range(k):
-            if r != i:
-                f = rows[r][i] / rows[i][i]
-                rows[r] = [a - f * b for a, b in zip(rows[r], rows[i])]
-    return [rows[i][k] / rows[i][i] for i in range(k)]
+def _largest_eigenvalue(m: list[list[float]], rounds: int = 200) -> float:
+    """Of a symmetric nonnegative matrix, from above."""
+    v, value = [1.0] * len(m), 0.0
+    for _ in range(rounds):
+        w = [sum(a * b for a, b in zip(r, v)) for r in m]
+        value = max(w, default=0.0)
+        v = [x / value for x in w] if value else v
+    return value * 1.001
 
 
 def fit_rates(scored: DataFrame, targets: list[float], most_steps: int = 60, tolerance: float = 1e-3) -> tuple[list[tuple[list[float], float]], list[float]]:
     """Accelerated projected-gradient steps that lead from rate one to nonnegative rates with the target totals.
 
-    Minimises the squares of the differences between expected totals, sum(rate * tokens * posterior), and the targets,
-    weighted by the inverse of M, the tokens-weighted sum of posterior products; so weighted, a full step never
-    overshoots. A step needs K totals alone, which each task sums for itself; a document's rate follows
-    from its posterior and the steps, so no rate is stored between steps. Momentum is dropped when the
-    differences grow. Ends when no total is off by over `tolerance` of all targets, or after `most_steps`. Returns
-    the steps, each with its momentum, and the totals reached.
+    Minimises the squares of the differences between expected totals, sum(rate * tokens * posterior), and the targets. The
+    step length comes from the largest eigenvalue of the tokens-weighted sum of posterior products, so that no step
+    overshoots; momentum is dropped when the differences grow. A document's rate follows from its posterior and the
+    steps, so documents of one posterior are summed up once, each step sums that table, and no rate is stored between
+    steps. Ends when no total is off by over `tolerance` of all targets, or after `most_steps`. Returns the steps,
+    each with its momentum, and the totals reached.
     """
     k, size = len(targets), max(1.0, sum(targets))
     row = scored.agg(*(F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
-    m = [[row[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]
-    ridge = 1e-9 * (sum(m[i][i] for i in range(k)) or 1.0)
-    m = [[m[i][j] + ridge * (i == j) for j in range(k)] for i in range(k)]
+    bound = _largest_eigenvalue([[row[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) or 1.0
 
     def totals(steps, point: str) -> list[float]:
         state = _rate(F.col("posterior"), steps)
@@ -149,17 +147,15 @@ def fit_rates(scored: DataFrame, targets: list[float], most_steps: int = 60, tol
         return [row[f"t{i}"] or 0.0 for i in range(k)]
 
     steps: list[tuple[list[float], float]] = []
-    reached, last, t = totals(steps, "r"), math.inf, 1.0
-    ahead = reached
+    ahead, last, t = totals(steps, "r"), math.inf, 1.0
     while len(steps) < most_steps:
         off = [r - w for r, w in zip(ahead, targets)]
-        step = _solve(m, off)
-        value = sum(a * b for a, b in zip(off, step))
+        value = sum(o * o for o in off)
         if max(map(abs, off)) <= tolerance * size:
             break
         t = 1.0 if value > last else t
         later = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        steps.append((step, (t - 1) / later))
+        steps.append(([o / bound for o in off], (t - 1) / later))
         t, last = later, value
         ahead = totals(steps, "y")
     return steps, totals(steps, "r")
@@ -168,8 +164,12 @@ def fit_rates(scored: DataFrame, targets: list[float], most_steps: int = 60, tol
 def score(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tokens (words), posterior; null texts count as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"), model.posteriors(text).alias("logs"))
-    return rows.select("doc_id", "tokens", (softmax("logs") if len(model.domains) > 1 else F.col("logs")).alias("posterior"))
+    tokens = F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    if len(model.domains) == 1:
+        return rows.select("doc_id", tokens, F.array(F.lit(1.0)).alias("posterior"))
+    found = rows.select("doc_id", tokens, *_features(F.col("text")))
+    return found.select("doc_id", "tokens", model.logs().alias("logs")).select("doc_id", "tokens", softmax("logs").alias("posterior"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] | None = None, multiples: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +193,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] | None
     else:
         wanted = [(weights or {}).get(d, 0.0 if weights else 1.0) if have[i] else 0.0 for i, d in enumerate(model.domains)]
         targets = [every * w / (sum(wanted) or 1.0) for w in wanted]
-    steps, _ = fit_rates(scored, targets)
+    groups = space.write(scored.groupBy("posterior").agg(F.sum("tokens").alias("tokens")), "groups", "snappy")
+    steps, _ = fit_rates(groups, targets)
     state = _rate(F.col("posterior"), steps)
     rated = scored.withColumn("rate", state["r"] if steps else state)
     chance = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
