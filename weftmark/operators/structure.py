@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.operators.graph import components
+from weftmark.operators.graph import checkpointed, components
 from weftmark.operators.views import static
 from weftmark.sources import markup
 
@@ -62,8 +62,8 @@ def similar_pairs(tokens: DataFrame, threshold: float = 0.7, n: int = 3, min_tok
     candidate is then counted exactly.
     """
     files = tokens.where(F.size("tokens") >= min_tokens).select("path", F.size("tokens").alias("tag_count"), F.array_sort(ngrams("tokens", n)).alias("grams"))
-    keyed = files.withColumn("set_id", F.sha2(F.array_join("grams", "\n"), 256))
-    sets = keyed.groupBy("set_id").agg(F.first("grams").alias("grams")).withColumn("size", F.size("grams"))
+    keyed = checkpointed(files.withColumn("set_id", F.sha2(F.array_join("grams", "\n"), 256)))  # read six times below
+    sets = checkpointed(keyed.groupBy("set_id").agg(F.first("grams").alias("grams")).withColumn("size", F.size("grams")))
     each = sets.select("set_id", "size", F.explode("grams").alias("gram"))
     ranked = each.join(each.groupBy("gram").agg(F.count("*").alias("df")), "gram").groupBy("set_id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("by_rarity"))
     prefix = F.slice("by_rarity", F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(threshold)).cast("int") + 1)
