@@ -201,7 +201,7 @@ def test_fixes_edit_from_right_to_left_and_leave_the_rest(spark):
 
 def test_symbols_outside_comments_and_quiet_lines(spark):
     found = symbols.scan(many(spark, {
-        "app/views/a.html.erb": "<%# ✓ %>é✓\n<%# guardrails-ok: emoji %>\n★\n📄 <%# guardrails-ok: emoji %>\n→",
+        "app/views/a.html.erb": "<%# ✓ %>é✓\n<%# lint-ok: emoji %>\n★\n📄 <%# lint-ok: emoji %>\n→",
         "app/models/b.rb": "x = \"#✓\" # ★\n# →\n", "config/locales/en.yml": "a: ✓ # ★", "app/javascript/c.js": "/* ✓\n*/ '★' // →", "spec/d.rb": "✓",
     }))
     assert rows(found, "path", "line", "column", "snippet") == [("app/javascript/c.js", 2, 9, "★"), ("app/models/b.rb", 1, 7, "✓"), ("app/views/a.html.erb", 1, 10, "✓"), ("app/views/a.html.erb", 5, 1, "→"), ("config/locales/en.yml", 1, 4, "✓")]
@@ -340,3 +340,11 @@ def test_scan_of_a_folder(spark, tmp_path):
     (tmp_path / "x.txt").write_text("x")
     found = corpus.files(spark, str(tmp_path), corpus.VIEWS).collect()
     assert [(r.path, r.content) for r in found] == [("app/views/é.html.erb", "<p>ü</p>")]
+
+
+def test_config():
+    assert corpus.load_config('{"tool": {"audit": {"ignore": ["a"]}}}') == {"audit": {"ignore": ["a"]}}
+    assert corpus.load_config('{"a": {"x": 1}, "b": {}}', section="a") == {"x": 1}
+    assert [corpus.load_config(t) for t in (None, " ", "[1", "3", "{}")] == [{}] * 5
+    with pytest.raises(Exception):
+        corpus.load_config("[1", strict=True)

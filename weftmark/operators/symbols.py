@@ -14,7 +14,7 @@ from weftmark.sources import corpus
 
 # Comments by file type, the marker that silences a line, and names of icons that replace symbols.
 ERB_COMMENT, BLOCK_COMMENT, LINE_COMMENT, YAML_COMMENT = r"<%#[\s\S]*?%>", r"/\*[\s\S]*?\*/", r"//[^\n]*", r"(?:(?<=\s)|(?m:^))#[^\n]*"
-MARKER = r"guardrails-ok:\s*emoji\b"
+MARKER = r"\b[\w-]+-ok:\s*emoji\b"
 SPRITE_HINTS = {
     "✓": ("check", "checkmark"), "✔": ("check", "checkmark"), "✕": ("x", "close"), "✖": ("x", "close"), "✗": ("x", "close"), "✘": ("x", "close"), "×": ("x", "close"),
     "★": ("star", "favorite"), "☆": ("star", "favorite"), "⚠": ("warning", "alert"), "📄": ("file", "document"), "📎": ("attachment", "paperclip"), "🔑": ("key",),

@@ -49,7 +49,7 @@ def as_markdown(found: DataFrame, now: datetime | None = None) -> tuple[str, str
         out += ["", f"## {file}"]
         for category, each in groupby(own, key=lambda i: i[1]):
             out += ["", f"### {category}", *(f"- [ ] line {line}: {title} ({hint})" for _, _, line, title, hint in each)]
-    return f"guardrails-suggestions-{stamp}.md", "\n".join(out) + "\n"
+    return f"suggestions-{stamp}.md", "\n".join(out) + "\n"
 
 
 def as_html(found: DataFrame, title: str = "Audit", shown: int = 8) -> str:

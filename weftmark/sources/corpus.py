@@ -100,8 +100,8 @@ def patched_files(patch: str | Column) -> Column:
     return F.regexp_extract_all(patch, F.lit(r"(?m)^\*\*\* (?:Add File|Update File|Move to): (.+)$"), F.lit(1))
 
 
-def load_config(text: str | None, strict: bool = False) -> dict:
-    """A configuration file's `guardrails` section; blank is empty, and so is what can't be read unless `strict`."""
+def load_config(text: str | None, strict: bool = False, section: str | None = None) -> dict:
+    """The named section of a configuration file, or its only one; blank is empty, and so is what can't be read unless `strict`."""
     try:
         import yaml
     except ImportError:
@@ -114,5 +114,6 @@ def load_config(text: str | None, strict: bool = False) -> dict:
         if strict:
             raise
         return {}
-    section = read.get("guardrails") if isinstance(read, dict) else None
-    return section if isinstance(section, dict) else {}
+    named = read if isinstance(read, dict) else {}
+    found = named.get(section or (next(iter(named)) if len(named) == 1 else None))
+    return found if isinstance(found, dict) else {}
