@@ -33,7 +33,8 @@ class DomainModel:
     domains: list[str]
     prior: list[float] = field(default_factory=list)
     telling: list[int] = field(default_factory=list)  # buckets whose words tell domains apart
-    words: list[list[float]] = field(default_factory=list)  # a weight for each telling bucket, by domain
+    absent: list[float] = field(default_factory=list)  # log-likelihood of a document without any telling word, by domain
+    words: list[list[float]] = field(default_factory=list)  # what each telling bucket adds to that, by domain
     shares: list[dict[str, tuple[float, float]]] = field(default_factory=list)  # mean, deviation
 
     def logs(self) -> Column:
@@ -45,9 +46,9 @@ class DomainModel:
         known = folded(place).cast("array<int>")
         found = F.array_distinct(F.filter(F.transform("words", lambda b: F.get(known, b)), lambda i: i > 0))
         logs = []
-        for prior, weights, shares in zip(self.prior, self.words, self.shares):
+        for prior, absent, weights, shares in zip(self.prior, self.absent, self.words, self.shares):
             table = folded([f"{w:.6g}" for w in weights] or ["0"]).cast("array<double>")
-            log = F.lit(math.log(prior)) + F.aggregate(found, F.lit(0.0), lambda a, i: a + F.get(table, i - 1))
+            log = F.lit(math.log(prior) + absent) + F.aggregate(found, F.lit(0.0), lambda a, i: a + F.get(table, i - 1))
             for name, (mean, deviation) in shares.items():
                 log = log - F.pow((F.col(name) - mean) / deviation, 2) / 2 - math.log(deviation)
             logs.append(log)
@@ -65,7 +66,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
     """Fit on about `most` labelled documents (those with the smallest hash of their id), read whole.
 
     Domains are the values of (quality, toxic) that the labels hold; rows with a null label, id or text teach nothing.
-    A document counts once for each of its words. Words whose frequency in a domain differs from the rest by under
+    A document counts once for each of its words, and words that it lacks count as well. Words whose frequency in a domain differs from the rest by under
     four standard errors get no weight. Without labels there is one domain, `all`.
     """
     known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias(id_col), F.concat(F.lit("quality"), F.col("quality").cast("string"), F.lit("_toxic"), F.col("toxic").cast("string")).alias("domain")).dropDuplicates([id_col])
@@ -87,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
     every = sum(n.values())
     held = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     counts = sample.select("domain", F.explode(F.array_distinct("words")).alias("b")).groupBy("b").agg(F.count("*").alias("all"), *held).where(F.col("all") >= 20)
-    telling, words = [], [[] for _ in domains]
+    telling, absent, words = [], [0.0] * len(domains), [[] for _ in domains]
     for r in sorted(counts.toLocalIterator()):  # at most BUCKETS rows
         weights = []
         for i, d in enumerate(domains):
@@ -95,13 +96,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
             p, q = (here + 0.5) / (n[d] + 1), (there + 0.5) / (every - n[d] + 1)
             pooled = (here + there + 1) / (every + 2)
             error = math.sqrt(pooled * (1 - pooled) * (1 / n[d] + 1 / max(1, every - n[d])))
-            weights.append(math.log(p / q) if abs(p - q) > 4 * error else 0.0)
-        if any(weights):
+            weights.append((math.log(p / q), math.log((1 - p) / (1 - q))) if abs(p - q) > 4 * error else (0.0, 0.0))
+        if any(there for there, _ in weights):
             telling.append(r.b)
-            for own, w in zip(words, weights):
-                own.append(w)
+            for i, (there, not_there) in enumerate(weights):
+                words[i].append(there - not_there)
+                absent[i] += not_there
     shares = [{name: (of[d][f"{name}_mean"], max(of[d][f"{name}_dev"] or 0.0, 0.01)) for name in _SHARES} for d in domains]
-    return DomainModel(domains, [n[d] / every for d in domains], telling, words, shares)
+    return DomainModel(domains, [n[d] / every for d in domains], telling, absent, words, shares)
 
 
 def _rate(posterior: Column, steps: list[tuple[list[float], float]]) -> Column:
@@ -109,7 +111,10 @@ def _rate(posterior: Column, steps: list[tuple[list[float], float]]) -> Column:
     and carries on by its momentum."""
     if not steps:
         return F.lit(1.0)
-    moves = F.array(*(F.struct(F.array(*map(F.lit, map(float, s))).alias("s"), F.lit(float(b)).alias("b")) for s, b in steps))
+    text = ";".join(",".join(repr(float(x)) for x in (*s, b)) for s, b in steps)  # a constant once the plan is optimised
+    k = len(steps[0][0])
+    numbers = F.transform(F.split(F.lit(text), ";"), lambda x: F.split(x, ",").cast("array<double>"))
+    moves = F.transform(numbers, lambda x: F.struct(F.slice(x, 1, k).alias("s"), F.get(x, F.lit(k)).alias("b")))
     dot = lambda s: F.aggregate(F.zip_with(s, posterior, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     moved = lambda a, s: F.greatest(F.lit(0.0), a["y"] - dot(s["s"]))
@@ -133,32 +138,37 @@ def fit_rates(scored: DataFrame, targets: list[float], most_steps: int = 60, tol
     step length comes from the largest eigenvalue of the tokens-weighted sum of posterior products, so that no step
     overshoots; momentum is dropped when the differences grow. A document's rate follows from its posterior and the
     steps, so documents of one posterior are summed up once, each step sums that table, and no rate is stored between
-    steps. Ends when no total is off by over `tolerance` of all targets, or after `most_steps`. Returns the steps,
-    each with its momentum, and the totals reached.
+    steps. Ends when no total is off by over `tolerance` of all targets, when twelve steps have not brought the squares down by
+    a hundredth (the rest is out of reach), or after `most_steps`. Returns the steps, each with its momentum, and the
+    totals reached.
     """
     k, size = len(targets), max(1.0, sum(targets))
     row = scored.agg(*(F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
     bound = _largest_eigenvalue([[row[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) or 1.0
 
-    def totals(steps, point: str) -> list[float]:
+    def totals(steps) -> tuple[list[float], list[float]]:
+        """At the rates, and at the point ahead of them from which the next step starts."""
         state = _rate(F.col("posterior"), steps)
-        rate = state[point] if steps else state
-        row = scored.select("tokens", "posterior", rate.alias("rate")).agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col("posterior")[i]).alias(f"t{i}") for i in range(k))).first()
-        return [row[f"t{i}"] or 0.0 for i in range(k)]
+        points = {"r": state["r"] if steps else state, "y": state["y"] if steps else state}
+        rated = scored.select("tokens", "posterior", *(c.alias(n) for n, c in points.items()))
+        row = rated.agg(*(F.sum(F.col(n) * F.col("tokens") * F.col("posterior")[i]).alias(f"{n}{i}") for n in points for i in range(k))).first()
+        return [row[f"r{i}"] or 0.0 for i in range(k)], [row[f"y{i}"] or 0.0 for i in range(k)]
 
     steps: list[tuple[list[float], float]] = []
-    ahead, last, t = totals(steps, "r"), math.inf, 1.0
+    (reached, ahead), last, t = totals(steps), math.inf, 1.0
+    best: list[float] = []
     while len(steps) < most_steps:
         off = [r - w for r, w in zip(ahead, targets)]
-        value = sum(o * o for o in off)
-        if max(map(abs, off)) <= tolerance * size:
+        value = sum((r - w) ** 2 for r, w in zip(reached, targets))
+        best.append(min([value, *best[-1:]]))
+        if max(abs(r - w) for r, w in zip(reached, targets)) <= tolerance * size or len(best) > 12 and best[-1] > 0.99 * best[-13]:
             break
         t = 1.0 if value > last else t
         later = (1 + math.sqrt(1 + 4 * t * t)) / 2
         steps.append(([o / bound for o in off], (t - 1) / later))
         t, last = later, value
-        ahead = totals(steps, "y")
-    return steps, totals(steps, "r")
+        reached, ahead = totals(steps)
+    return steps, reached
 
 
 def score(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
