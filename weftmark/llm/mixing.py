@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
 #: Shares of characters that the classifier reads beside words: name, pattern of the characters counted.
 _SHARES = {"marks": r"[!#$%&*|]", "capitals": "[A-Z]"}
+#: A missing word counts only against a domain that has most of the word's documents, and this many times its own share of all documents.
+MARKS = 3.0
 #: Posteriors are rounded to this part of one, so that documents with like posteriors can be summed up for the fit.
 GRAIN = 1000
 
@@ -33,7 +35,7 @@ class DomainModel:
     domains: list[str]
     prior: list[float] = field(default_factory=list)
     telling: list[int] = field(default_factory=list)  # buckets whose words tell domains apart
-    absent: list[float] = field(default_factory=list)  # log-likelihood of a document without any telling word, by domain
+    absent: list[float] = field(default_factory=list)  # what a document without any telling word has, by domain
     words: list[list[float]] = field(default_factory=list)  # what each telling bucket adds to that, by domain
     shares: list[dict[str, tuple[float, float]]] = field(default_factory=list)  # mean, deviation
 
@@ -66,8 +68,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
     """Fit on about `most` labelled documents (those with the smallest hash of their id), read whole.
 
     Domains are the values of (quality, toxic) that the labels hold; rows with a null label, id or text teach nothing.
-    A document counts once for each of its words, and words that it lacks count as well. Words whose frequency in a domain differs from the rest by under
-    four standard errors get no weight. Without labels there is one domain, `all`.
+    A document counts once for each of its words. Words that it lacks count only where they mark a domain (see MARKS), for a
+    text in another language lacks what is common in the largest domain. Words whose frequency in a domain differs from the rest by
+    under four standard errors get no weight. Without labels there is one domain, `all`.
     """
     known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias(id_col), F.concat(F.lit("quality"), F.col("quality").cast("string"), F.lit("_toxic"), F.col("toxic").cast("string")).alias("domain")).dropDuplicates([id_col])
     total = known.count()
@@ -96,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
             p, q = (here + 0.5) / (n[d] + 1), (there + 0.5) / (every - n[d] + 1)
             pooled = (here + there + 1) / (every + 2)
             error = math.sqrt(pooled * (1 - pooled) * (1 / n[d] + 1 / max(1, every - n[d])))
-            weights.append((math.log(p / q), math.log((1 - p) / (1 - q))) if abs(p - q) > 4 * error else (0.0, 0.0))
+            marks = here > there and here * every > MARKS * n[d] * (here + there)
+            weights.append((math.log(p / q), math.log((1 - p) / (1 - q)) if marks else 0.0) if abs(p - q) > 4 * error else (0.0, 0.0))
         if any(there for there, _ in weights):
             telling.append(r.b)
             for i, (there, not_there) in enumerate(weights):
