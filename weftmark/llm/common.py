@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,37 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a key set that is broadcast, about 100 bytes each; a larger one is joined by a shuffle.
+BROADCAST_MOST = 1_000_000
+
+
+def sized(keys: DataFrame, most: int = BROADCAST_MOST) -> DataFrame:
+    """A stored table, marked for a broadcast if it has up to `most` rows."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def join_uneven(rows: DataFrame, ones: DataFrame, on: Sequence[str], size: str, total: int, parts: int = 10_000) -> DataFrame:
+    """rows joined with ones, which has one row a key and in `size` the number of rows with that key.
+
+    Keys with over a `parts`-th of all `total` rows, of which there are fewer than `parts`, are broadcast, so that no task gets
+    all rows of one key; the others are shuffled.
+    """
+    floor = max(100, total // parts)
+    hot = F.broadcast(ones.where(F.col(size) > floor))
+    rest = rows.join(hot.select(*on), list(on), "left_anti")
+    return rows.join(hot, list(on)).unionByName(rest.join(ones.where(F.col(size) <= floor), list(on)))
+
+
+def keyed(rows: DataFrame, keys: DataFrame, on: Mapping[str, Column], how: str, most: int = BROADCAST_MOST) -> DataFrame:
+    """rows with a key (left_semi) or without one (left_anti) in keys, a stored table; nulls are equal to each other.
+
+    `on` gives for each column of keys the column of rows that it is held against. Keys are counted first: up to `most`
+    are broadcast, so that rows, with their texts, stay where they are; more are joined by a shuffle of both sides.
+    """
+    named = sized(keys, most).select(*(F.col(k).alias(f"{k}-of-keys") for k in on))
+    return rows.join(named, [value.eqNullSafe(F.col(f"`{k}-of-keys`")) for k, value in on.items()], how)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of long texts small: at most `rows` rows cross to Python at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

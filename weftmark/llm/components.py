@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, join_uneven
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_uneven(both, least, ["a"], "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_uneven(down, least, ["a"], "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -29,16 +29,20 @@ def components(edges: DataFrame, space: Workspace, name: str = "components", mos
     and the loop ends when a round changes nothing.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    now = space.write(_small(edges), f"{name}-0")
-    sign = None
+    edges = space.write(edges, f"{name}-edges")
+    total = edges.count()
+    now, sign = space.write(_small(edges, total), f"{name}-0"), None
     for i in range(1, most_rounds + 1):
-        new = space.write(_small(_large(now)), f"{name}-{i}")
-        space.drop(f"{name}-{i - 1}")
+        large = space.write(_large(now, total), f"{name}-large-{i}")
+        new = space.write(_small(large, total), f"{name}-{i}")
+        for old in (f"{name}-{i - 1}", f"{name}-large-{i}"):
+            space.drop(old)
         now, before = new, sign
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if sign == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    space.drop(f"{name}-edges")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, normalised, spread, table
+from .common import Workspace, join_uneven, keyed, normalised, spread, table
 
 #: Slots of a bucket, fingerprint bits, and moves before a table counts as full.
 SLOTS, FINGERPRINT, KICKS = 4, 0xFFFF, 200
@@ -216,12 +216,39 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     space = Workspace(spark, "exact-dedup")
     keys = space.write(digests(docs, id_col, text_col), "keys", "snappy")
-    count = shards(keys.count(), spread(docs))
-    index = space.write(index_of(keys, count), "index", "snappy")
-    return keys.join(index, ["digest", "length"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    total = keys.count()
+    index = space.write(index_of(keys, shards(total, spread(docs))), "index", "snappy")
+    return join_uneven(keys, index, ["digest", "length"], "group_size", total).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each normalised text: that with the smallest id, null last.
+
+    Of rows equal in id and text, and of those of a text that has null ids only, the row with the smallest hash of all columns stays.
+    Rows are dropped by id and text, so a row never goes because another text has its id.
+    """
+    spark = docs.sparkSession
+    space = Workspace(spark, "unique")
+    keys = space.write(digests(docs, id_col, text_col), "keys", "snappy")
+    total = keys.count()
+    index = space.write(index_of(keys, shards(total, spread(docs))), "index", "snappy")
+    mark = F.xxhash64("digest", "length").alias("mark")
+    copied = index.where("group_size > 1")
+    of = space.write(join_uneven(keys, copied, ["digest", "length"], "group_size", total), "members", "snappy")
+    dropped = space.write(of.where("keep_id IS NOT NULL AND NOT (doc_id <=> keep_id)").select("doc_id", mark).distinct(), "dropped", "snappy")
+    repeated = space.write(of.where("doc_id <=> keep_id").groupBy("doc_id", mark).count().where("count > 1").drop("count"), "repeated", "snappy")
+    text = normalised(text_col)
+    on = {"doc_id": F.col(id_col).cast("long"), "mark": F.xxhash64(F.unhex(F.sha2(text, 256)), F.length(text))}
+    left = keyed(docs, dropped, on, "left_anti")
+    if repeated.isEmpty():
+        return left
+    again = keyed(left, repeated, on, "left_semi").select(F.struct("*").alias("row"), *(v.alias(k) for k, v in on.items()))
+    once = again.groupBy("doc_id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return keyed(left, repeated, on, "left_anti").unionByName(once)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equal texts."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import slices, small_batches, table
 
@@ -112,7 +113,7 @@ def held_out(id_col: str | Column) -> Column:
 def train(docs: DataFrame, per_language: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on about `per_language` documents of each non-null language outside the held-out fifth.
 
-    The documents are those with the smallest hash of id and text, and are read whole; a fifth of them sets the
+    The documents are those with the smallest hash of their id, and are read whole; a fifth of them sets the
     trust of the bits. Without any labelled row the model has no language.
     """
     small_batches(docs.sparkSession)
@@ -161,6 +162,20 @@ def margins(data: list[np.ndarray], model: LanguageModel) -> np.ndarray:
     return out / np.maximum(total, 1)[:, None] + model.bias
 
 
+def _letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def _decide(batch: pa.RecordBatch, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language or und, score, ambiguous) of each row, from its columns text and letters."""
+    letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+    if not model.languages:
+        return np.full(len(letters), "und", dtype=object), np.zeros(len(letters)), np.ones(len(letters), dtype=bool)
+    best, score, close = model.decode(margins(_texts(batch), model))
+    names = np.array([*model.languages, "und"], dtype=object)[np.where(letters, best, len(model.languages))]
+    return names, np.where(letters, score, 0.0), np.where(letters, close, True)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of each row; the text is the only input of a prediction.
 
@@ -169,26 +184,37 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), _letters(text).alias("letters"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
-                letters = batch.column("letters").to_numpy(zero_copy_only=False)
-                if model.languages:
-                    best, score, close = model.decode(margins(_texts(batch), model))
-                    names = np.array([*model.languages, "und"], dtype=object)[np.where(letters, best, len(model.languages))]
-                else:
-                    score, close, names = np.zeros(len(letters)), np.ones(len(letters), dtype=bool), ["und"] * len(letters)
+                names, score, close = _decide(batch, model)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, close, True))],
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(close)],
                     names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
                 )
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def known(docs: DataFrame, model: LanguageModel, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have a language with at least the score; each is judged on its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = F.col(text_col).cast("string")
+    whole = docs.select(F.struct("*").alias("row"), _letters(text).alias("letters"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1_000_000):
+                names, score, _ = _decide(part, shared.value)
+                yield part.select(["row"]).filter(pa.array((names != "und") & (score >= least_score)))
+
+    return whole.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs))

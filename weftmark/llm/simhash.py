@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, small_batches, table
+from .common import Workspace, join_uneven, slices, small_batches, table
 from .components import components
 
 BITS = 64
@@ -24,13 +24,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     space, digest = b" ", xxhash.xxh64_intdigest
     parts = [space.join(words)] if len(words) < width else map(space.join, zip(*(words[i:] for i in range(width))))
     total = max(1, len(words) - width + 1)
-    sums, done = np.zeros(BITS, dtype=np.int64), 0
-    hashes = np.fromiter((digest(p, seed) for p in parts), dtype="<u8", count=total)
-    while done < total:
-        part = hashes[done : done + 65536]
+    return simhash_of(np.fromiter((digest(p, seed) for p in parts), dtype="<u8", count=total))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have; zero for none."""
+    sums = np.zeros(BITS, dtype=np.int64)
+    for done in range(0, len(hashes), 65536):
+        part = np.ascontiguousarray(hashes[done : done + 65536], dtype="<u8")
         sums += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        done += len(part)
-    return int.from_bytes(np.packbits(2 * sums > total, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * sums > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +63,15 @@ def viable(a: np.ndarray, b: np.ndarray, start: int, ring: list[tuple[int, int]]
     return alive
 
 
+def within(a: np.ndarray, b: np.ndarray, ring: list[tuple[int, int]], distance: int) -> np.ndarray:
+    """Which pairs are within the distance: those with a start from which the chains keep their budgets go to the full check."""
+    alive = np.zeros(len(a), dtype=bool)
+    for start in range(len(ring)):
+        left = np.flatnonzero(~alive)
+        alive[left] = viable(a[left], b[left], start, ring, distance)
+    return alive
+
+
 def _bucket_links(count: int, distance: int):
     """Edges that join, within each bucket, what its viable pairs join; at most members - 1 a bucket."""
     ring = segments(count)
@@ -129,12 +141,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     space = Workspace(spark, "simhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = space.write(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "prints", "snappy")
-    nodes = space.write(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes", "snappy")
-    found = space.write(links(nodes, space, distance, ring), "links", "snappy")
+    nodes = space.write(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes", "snappy")
+    found = space.write(links(nodes.where("node IS NOT NULL").drop("n"), space, distance, ring), "links", "snappy")
     classes = components(found, space)
-    of = nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = space.write(nodes.join(classes, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id")), "classes", "snappy")
+    return join_uneven(prints, of, ["fp"], "n", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate group, by three words and two bits."""
     return simhash_dedup(table(spark, sf_dir, "documents"))
