@@ -103,8 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
     Domains are the values of (quality, toxic) that the labels hold; rows with a null label, id or text teach nothing; of
     an id with several labels the least domain by name counts. A document counts once for each of its words. A word has a weight
     where it marks a domain: at least MARKS times as frequent there as elsewhere, shrunk by CHANCE. Lacking a mark counts
-    only if the domain has most of the word's documents, for a text in another language lacks what is
-    common in the largest domain. Without labels there is one domain, `all`.
+    only if the domain has most of the word's documents and MARKS times its own share of all documents, for a text in another
+    language lacks what is common in the largest domain. Without labels there is one domain, `all`.
     """
     space = space or Workspace(docs.sparkSession, "mixing-train")
     name = F.concat(F.lit("quality"), F.col("quality").cast("string"), F.lit("_toxic"), F.col("toxic").cast("string"))
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, id_col: str =
         share = F.col("all") / every
         statistic = 2 * (surprise(here, share * inside) + surprise(there, share * outside) + surprise(inside - here, (1 - share) * inside) + surprise(outside - there, (1 - share) * outside))
         shrink = F.when((p >= MARKS * q) & (statistic > CHANCE), 1 - CHANCE / statistic).otherwise(F.lit(0.0))
-        counts = counts.withColumns({f"w{i}": shrink * F.log(p / q), f"a{i}": F.when(here > there, shrink * F.log((1 - p) / (1 - q))).otherwise(F.lit(0.0))})
+        counts = counts.withColumns({f"w{i}": shrink * F.log(p / q), f"a{i}": F.when((here > there) & (here * every > MARKS * inside * F.col("all")), shrink * F.log((1 - p) / (1 - q))).otherwise(F.lit(0.0))})
     marks = counts.where(F.greatest(F.lit(0.0), *(F.col(f"w{i}") for i in range(len(domains)))) > 0)  # few: all others have no weight
     telling, words, absent = [], [[] for _ in domains], [0.0] * len(domains)
     for r in sorted(marks.select("word", *(f"{c}{i}" for c in "wa" for i in range(len(domains)))).collect()):
