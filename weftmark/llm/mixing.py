@@ -44,8 +44,8 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _bin(value: Column, edges: Sequence[float]) -> Column:
-    return sum(((value >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+def _bin_of(edges: Sequence[float]) -> Callable[[Column], Column]:
+    return lambda value: sum(((value >= F.lit(e)).cast("int") for e in edges), F.lit(0))
 
 
 def _bins(text: Column, words: Column, distinct: Column) -> Column:
@@ -54,7 +54,7 @@ def _bins(text: Column, words: Column, distinct: Column) -> Column:
     total = F.greatest(F.size(words), F.lit(1))
     variety = F.when(total > 1, F.log(F.greatest(F.size(distinct), F.lit(1)).cast("double")) / F.log(total.cast("double"))).otherwise(F.lit(1.0))
     values = {"marks": F.regexp_count(text, F.lit("[!#$%&*|]")) / size, "capitals": F.regexp_count(text, F.lit("[A-Z]")) / size, "variety": variety}
-    return F.array(*(_bin(values[n], edges) for n, edges in SHARES.items()))
+    return F.array(*(_let(values[n], _bin_of(edges)) for n, edges in SHARES.items()))
 
 
 def _features(text: Column) -> Column:
