@@ -75,7 +75,8 @@ def keyed(rows: DataFrame, keys: DataFrame, on: Mapping[str, Column], how: str,
     are broadcast, so that rows, with their texts, stay where they are; more are joined by a shuffle of both sides.
     """
     named = sized(keys, most).select(*(F.col(k).alias(f"{k}-of-keys") for k in on))
-    return rows.join(named, [value.eqNullSafe(F.col(f"`{k}-of-keys`")) for k, value in on.items()], how)
+    held = rows.withColumns({f"{k}-of-rows": value for k, value in on.items()})  # evaluated once, not once a use
+    return held.join(named, [F.col(f"`{k}-of-rows`").eqNullSafe(F.col(f"`{k}-of-keys`")) for k in on], how).select(*(F.col(f"`{c}`") for c in rows.columns))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
