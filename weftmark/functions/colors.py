@@ -34,8 +34,8 @@ def match_tokens(literals: DataFrame, tokens: DataFrame, value: str = "value", t
     """literals with match_name, match_value, match_kind (exact or near) and match_distance, null where nothing matches.
 
     tokens(name, value, ordinal). Of tokens with equal values the last wins; else of those within 1..threshold the nearest,
-    the first of equals. Nearest tokens meet literals on the red channel in bins as wide as the threshold, each literal
-    in its own and both neighbours, so that neither side is broadcast or paired as a whole.
+    the first of equals. Nearest tokens meet literals in cubes of the three channels as wide as the threshold, each literal in its
+    own and the 26 beside it, so that neither side is broadcast or paired as a whole and only near colours meet.
     """
     named = tokens.select("name", F.col("value").alias("token_value"), "ordinal", normal_hex("value").alias("norm"))
     last = named.withColumn("rn", F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("ordinal")))).where("rn = 1").select("norm", F.col("name").alias("exact_name"), F.col("token_value").alias("exact_value"))
@@ -44,11 +44,14 @@ def match_tokens(literals: DataFrame, tokens: DataFrame, value: str = "value", t
     empty = {"near_name": F.lit(None).cast("string"), "near_value": F.lit(None).cast("string"), "distance": F.lit(None).cast("int")}
     if near and threshold > 0:
         colour = F.col("norm").startswith("#") & (F.length("norm") == 7)
-        bin_of = F.floor(_channel(F.col("norm"), 2) / (threshold + 1)).cast("int")
-        wanted = joined.where(F.col("exact_name").isNull() & colour).select("norm").distinct()
-        wanted = wanted.withColumn("bin", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)))
-        there = named.where(colour).withColumn("bin", bin_of).select(F.col("norm").alias("token_norm"), "name", "token_value", "ordinal", "bin")
-        close = wanted.join(there, "bin").withColumn("d", hex_distance("norm", "token_norm")).where(F.col("d").between(1, threshold))
+        channels = {c: _channel(F.col("norm"), at) for c, at in (("red", 2), ("green", 4), ("blue", 6))}
+        width = threshold + 1
+        cube = lambda by: sum(((F.floor(F.col(c) / width) + 1 + by[i]) * 300**i for i, c in enumerate(channels)), F.lit(0)).cast("int")
+        beside = [cube((i, j, k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+        wanted = joined.where(F.col("exact_name").isNull() & colour).select("norm").distinct().withColumns(channels).withColumn("cube", F.explode(F.array(*beside)))
+        first = named.where(colour).groupBy("norm").agg(F.min(F.struct("ordinal", "name", "token_value")).alias("t"))  # the first of equal colours
+        there = first.withColumns(channels).select(cube((0, 0, 0)).alias("cube"), "t.*", *(F.col(c).alias(f"token_{c}") for c in channels))
+        close = wanted.join(there, "cube").withColumn("d", F.greatest(*(F.abs(F.col(c) - F.col(f"token_{c}")) for c in channels))).where(F.col("d").between(1, threshold))
         best = close.groupBy("norm").agg(F.min(F.struct("d", "ordinal", "name", "token_value")).alias("m"))
         best = best.select("norm", F.col("m.name").alias("near_name"), F.col("m.token_value").alias("near_value"), F.col("m.d").alias("distance"))
         joined = joined.join(best, "norm", "left")

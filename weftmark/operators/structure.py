@@ -28,7 +28,8 @@ def fingerprint(shape: str | Column) -> Column:
 
 def contains_shape(outer: Column, inner: Column) -> Column:
     """Whether inner stands in outer as a whole child: after ( or , and before ) or ,."""
-    return F.rlike(outer, F.concat(F.lit(r"[(,]\Q"), inner, F.lit(r"\E[),]")))
+    stands = [F.contains(outer, F.concat(F.lit(before), inner, F.lit(after))) for before in "(," for after in "),"]
+    return stands[0] | stands[1] | stands[2] | stands[3]
 
 
 def shape_patterns(tree: DataFrame, min_size: int = 5, min_occurrences: int = 3) -> DataFrame:

@@ -96,6 +96,7 @@ def scan(files: DataFrame, **options) -> DataFrame:
 def with_hints(found: DataFrame, icons: DataFrame, snippet: str = "snippet") -> DataFrame:
     """found with sprite_name: the first hinted icon that exists, else null."""
     hints = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in SPRITE_HINTS.items() for x in pair])
-    hinted = found.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hints", F.get(F.array(F.coalesce(hints[T.without_variation(snippet)], F.array().cast("array<string>"))), F.lit(0)))
-    each = hinted.select("_row", F.posexplode("_hints").alias("_i", "name")).join(icons.select("name").distinct(), "name").groupBy("_row").agg(F.min_by("name", "_i").alias("sprite_name"))
-    return hinted.join(each, "_row", "left").drop("_row", "_hints")
+    known = found.select(F.col(snippet).alias("_snippet")).distinct()
+    hinted = known.withColumn("_hints", F.coalesce(hints[T.without_variation("_snippet")], F.array().cast("array<string>")))
+    each = hinted.select("_snippet", F.posexplode("_hints").alias("_i", "name")).join(icons.select("name").distinct(), "name").groupBy("_snippet").agg(F.min_by("name", "_i").alias("sprite_name"))
+    return found.join(each, F.col(snippet) == F.col("_snippet"), "left").drop("_snippet")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,22 +69,13 @@ def page_similarity(spark, sf_dir):
     return structure.similar_pairs(tokens, 0.9).groupBy("shared", "total").agg(F.count("*").alias("pairs"))
 
 
-@query(f"""WITH d AS (SELECT o.o_orderkey AS k, list_sort(list(DISTINCT l.l_suppkey % 40)) AS s FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey % 7 = 0 GROUP BY 1 HAVING count(*) >= 3),
+@query("""WITH d AS (SELECT o.o_orderkey AS k, list(DISTINCT l.l_suppkey) AS s FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1 HAVING count(*) >= 3),
 e AS (SELECT k, unnest(s) AS g FROM d), p AS (SELECT a.k AS file_a, b.k AS file_b, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2)
 SELECT CAST(file_a AS BIGINT) AS file_a, CAST(file_b AS BIGINT) AS file_b, CAST(shared AS BIGINT) AS shared, CAST(len(x.s) + len(y.s) - shared AS BIGINT) AS total FROM p JOIN d x ON x.k = file_a JOIN d y ON y.k = file_b WHERE shared::DOUBLE / (len(x.s) + len(y.s) - shared) >= 0.7""")
 def set_similarity(spark, sf_dir):
-    return _similar_orders(table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 7 == 0), table(spark, sf_dir, "orders"))
-
-
-@query()
-def set_similarity_all(spark, sf_dir):
-    """Over all orders; set_similarity and its SQL look at a seventh of them."""
-    return _similar_orders(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
-
-
-def _similar_orders(lines, orders):
-    sets = lines.groupBy(F.col("l_orderkey").alias("path")).agg(F.collect_list((F.col("l_suppkey") % 40).cast("string")).alias("tokens"))
-    found = structure.similar_pairs(sets.join(orders.select(F.col("o_orderkey").alias("path")), "path"), 0.7, n=1, min_tokens=3)
+    """All orders whose sets of suppliers are similar."""
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.collect_list(F.col("l_suppkey").cast("string")).alias("tokens"))
+    found = structure.similar_pairs(sets.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path")), "path"), 0.7, n=1, min_tokens=3)
     return found.select(F.col("file_a").cast("long"), F.col("file_b").cast("long"), F.col("shared").cast("long"), F.col("total").cast("long"))
 
 
@@ -364,9 +357,12 @@ def finding_filter(spark, sf_dir):
     return findings.containing(_findings(spark, sf_dir).where("category <> 'class-itis'"), "APP/VIEWS/P7/").groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("SELECT true AS failing")
+@query("SELECT 'none' AS corpus, false AS failing UNION ALL SELECT 'parts', count(*) > 0 FROM part WHERE 0 IN (p_partkey % 3, p_partkey % 4, p_partkey % 5, p_partkey % 6, p_partkey % 7, p_partkey % 8)")
 def run_fails(spark, sf_dir):
-    return findings.failing(_findings(spark, sf_dir))
+    """Whether a run fails: without files, and over the seeded parts, of which some have errors."""
+    found = _findings(spark, sf_dir)
+    runs = {"none": findings.failing(found.where("false")), "parts": findings.failing(found)}
+    return functools.reduce(DataFrame.unionByName, (run.select(F.lit(name).alias("corpus"), "failing") for name, run in runs.items()))
 
 
 @query("SELECT 'v' || (p_partkey % 2) || ' w x y z' AS classes, 10 AS shown, CAST(count(*) - 10 AS INTEGER) AS more FROM part WHERE p_partkey % 10 < 3 GROUP BY 1")
