@@ -190,7 +190,7 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, kind: st
     """Write the ids of docs in the module's file format to the folder `target`, in ascending order of id.
 
     Null texts count as empty: the end id alone. Null ids come first. Repeated rows are written as often as they
-    come. A dataset without rows is a table without blocks. Other columns are not read.
+    come; rows that share an id come in the order of their ids' bytes. A dataset without rows is a table without blocks. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -206,7 +206,7 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, kind: st
     freq = frequencies(counts)
     shared = spark.sparkContext.broadcast(freq)
     files = max(spread(docs), int(counts.sum()) >> 26)  # so that a file holds about 2^26 ids at any size
-    ordered = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    ordered = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(_encode(shared, dtype, block_ids), _BLOCK).write.option("compression", "none").parquet(f"{target}/blocks")
     spark.createDataFrame([(SCALE_BITS, freq.astype("<u4").tobytes())], "bits int, freq binary").coalesce(1).write.parquet(f"{target}/tables")
     space.drop("ids")
