@@ -41,7 +41,7 @@ def _constants(values: Sequence[str], kind: str = "string") -> Column:
 
 def _words(text: Column) -> Column:
     """The runs of letters and digits of the lower-cased text, with repeats."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _bin_of(edges: Sequence[float]) -> Callable[[Column], Column]:
