@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -98,6 +99,18 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         yield batch.slice(start)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker, which lives on, gives freed memory back to the system."""
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return leaner
+
+
 def grouped(batches: Iterator[pa.RecordBatch], same: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Runs of rows with equal keys from batches that are sorted by the key.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import slices, small_batches, table
+from .common import lean, slices, small_batches, table
 
 #: n-grams of 1 to 3 bytes of UTF-8 with A-Z lower-cased, hashed to this many features.
 FEATURES, ORDERS = 4096, (1, 2, 3)
@@ -125,7 +125,7 @@ def train(docs: DataFrame, per_language: int = 600, id_col: str = "doc_id", text
     grid = 1_000_000
     wanted = F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(grid, -(-grid * per_language // totals[lang])))])
     chosen = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(grid)).alias("h")).where(F.col("h") < wanted[F.col("lang")])
-    rows = chosen.select("lang", "text").mapInArrow(_vectors, "lang string, x binary").collect()  # per_language vectors a language
+    rows = chosen.select("lang", "text").mapInArrow(lean(_vectors), "lang string, x binary").collect()  # per_language vectors a language
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
     y = np.array([languages.index(r.lang) for r in rows])
     x = np.stack([np.frombuffer(r.x, dtype=np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def known(docs: DataFrame, model: LanguageModel, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
@@ -211,7 +211,7 @@ def known(docs: DataFrame, model: LanguageModel, least_score: float = 0.0, text_
                 names, score, _ = _decide(part, shared.value)
                 yield part.select(["row"]).filter(pa.array((names != "und") & (score >= least_score)))
 
-    return whole.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+    return whole.mapInArrow(lean(run), StructType([StructField("row", docs.schema)])).select("row.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

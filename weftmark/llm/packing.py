@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, slices, small_batches, spread, table
+from .common import Workspace, lean, slices, small_batches, spread, table
 from .tokens import public_path, tokenizer
 
 CAPACITY = 2048
@@ -83,7 +83,7 @@ def _cut(path: str, kind: str, end_id: int, capacity: int):
 def pieces(docs: DataFrame, path: str, kind: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of each row's ids and end id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_cut(path, kind, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(_cut(path, kind, end_id, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY, per_group: int = 20_000) -> DataFrame:

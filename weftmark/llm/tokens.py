@@ -25,15 +25,16 @@ class ChunkTokenizer:
     """Ids of whole texts, equal to encode(text, add_special_tokens=False).
 
     The pre-tokenizer never joins two chunks, so the ids of a text are those of its chunks in a row. Chunks
-    seen before come from a cache of at most `most` entries; the library encodes the others.
+    seen before come from a cache of two generations of about `most` entries each, of which the older is dropped when the
+    younger is full, less what was used since; the library encodes the others.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 700_000):
+    def __init__(self, path: str, kind: str, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.most, self.cache = _CHUNKS[kind], most, {}
+        self.chunks, self.most, self.cache, self.older = _CHUNKS[kind], most, {}, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
 
     def _raw(self, texts: Sequence[str]) -> list[bytes]:
@@ -48,10 +49,12 @@ class ChunkTokenizer:
         skip, find = set(whole), self.chunks.findall
         cut = {i: find(t) for i, t in enumerate(texts) if t and i not in skip}
         new = set().union(*cut.values()).difference(self.cache)
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
+        if self.cache and len(self.cache) + len(new) > self.most:
+            self.older, self.cache = self.cache, {}
             new = set().union(*cut.values())
-        new = list(new)
+        known = new & self.older.keys()
+        self.cache.update((c, self.older[c]) for c in known)
+        new = list(new - known)
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             self.cache.update(zip(part, self._raw(part)))
