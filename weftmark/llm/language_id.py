@@ -91,11 +91,16 @@ class LanguageModel:
 
 
 def _fit_bits(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions of the columns of y (+1/-1) on standardised features, by accelerated gradient."""
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-4
-    z = (x - centre) / scale
+    """Logistic regressions of the columns of y (+1/-1) on standardised features, by accelerated gradient.
+
+    x is standardised in place, so that the driver holds it once.
+    """
+    centre, z = x.mean(axis=0), x
+    z -= centre
+    scale = np.sqrt(np.einsum("ij,ij->j", z, z) / len(z)) + np.float32(1e-4)
+    z /= scale
     w, b = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
-    v, rate, decay = w.copy(), 4.0 / max(1.0, float((z**2).sum(axis=1).mean())), 1e-3
+    v, rate, decay = w.copy(), 4.0 / max(1.0, float(np.einsum("ij,ij->", z, z)) / len(z)), 1e-3
     for i in range(rounds):
         g = -y / (1 + np.exp(np.clip(y * (z @ v + b), -30, 30)))
         new = v - rate * (z.T @ g / len(z) + decay * v)
@@ -125,12 +130,15 @@ def train(docs: DataFrame, per_language: int = 600, id_col: str = "doc_id", text
     grid = 1_000_000
     wanted = F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(grid, -(-grid * per_language // totals[lang])))])
     chosen = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(grid)).alias("h")).where(F.col("h") < wanted[F.col("lang")])
-    rows = chosen.select("lang", "text").mapInArrow(lean(_vectors), "lang string, x binary").collect()  # per_language vectors a language
-    rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    y = np.array([languages.index(r.lang) for r in rows])
-    x = np.stack([np.frombuffer(r.x, dtype=np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
+    rows = chosen.select("lang", "text").mapInArrow(lean(_vectors), "lang string, x binary").toArrow()  # per_language vectors a language
+    rows = rows.sort_by([("lang", "ascending"), ("x", "ascending")])
+    y = np.array([languages.index(lang) for lang in rows.column("lang").to_pylist()])
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for i, vector in enumerate(rows.column("x")):
+        x[i] = np.frombuffer(vector.as_buffer(), dtype=np.float32)
+    del rows
     codes = codewords(len(languages))
-    if len(languages) == 1 or not len(rows):
+    if len(languages) == 1 or not len(x):
         return LanguageModel(languages, codes, np.zeros((FEATURES, codes.shape[1])), np.zeros(codes.shape[1]), np.ones(codes.shape[1]) / codes.shape[1])
     test = np.arange(len(y)) % 5 == 0
     w, b = _fit_bits(x[~test], codes[y[~test]].astype(np.float32))
