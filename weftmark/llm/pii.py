@@ -5,15 +5,16 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table
+from .common import Workspace, lean, slices, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -176,6 +177,34 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+#: Gradients are whole multiples of one part in so many, so that sums over tasks don't depend on the order of adding.
+UNIT = 1 << 20
+#: Thresholds are whole multiples of one part in so many.
+CELLS = 1 << 16
+
+
+class Part:
+    """Distinct examples, with how many each stands for and how many of those are good; keeps their scores by the trees so far."""
+
+    def __init__(self, x: np.ndarray, good: np.ndarray, n: np.ndarray):
+        self.x, self.good, self.n = x, good, n
+        self.bins: np.ndarray | None = None
+        self.score, self.done = np.zeros(0), 0
+
+    def scored(self, trees: BoostedTrees) -> np.ndarray:
+        if self.bins is None:
+            self.bins, self.score = trees.binned(self.x), np.full(len(self.x), trees.start)
+        for feature, cut, values in trees.nodes[self.done :]:
+            self.score += values[trees.leaf(self.bins, feature, cut, trees.depth)]
+        self.done = len(trees.nodes)
+        return self.score
+
+
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys, and for each key two sums of whole numbers
+#: Of a function that gives the sums of a part: the sums over all parts, by distinct keys.
+Totals = Callable[[Callable[[Part], Sums]], Sums]
+
+
 @dataclass
 class BoostedTrees:
     """Gradient boosting of the logistic loss: trees of `depth` levels on binned features, one split a node."""
@@ -187,50 +216,68 @@ class BoostedTrees:
     nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # feature, bin, leaf values
     start: float = 0.0
 
-    def _bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(self.edges)], axis=1) if len(x) else np.zeros(x.shape, int)
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape, np.uint8)
+        for i, e in enumerate(self.edges):
+            out[:, i] = np.searchsorted(e, x[:, i], side="left")
+        return out
+
+    @staticmethod
+    def leaf(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+        """The node that each row reaches after so many levels, from 0 on among those of its level."""
+        at, rows = np.zeros(len(bins), int), np.arange(len(bins))
+        for _ in range(levels):
+            at = 2 * at + 1 + (bins[rows, feature[at]] > cut[at])
+        return at - ((1 << levels) - 1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, 33)[1:-1])) for i in range(x.shape[1])]
-        bins, width = self._bins(x), 33
-        p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+        part = Part(x, y, np.ones(len(y)))
+        return self.grow(lambda sums: sums(part))
+
+    def grow(self, totals: Totals) -> BoostedTrees:
+        """Fit on all examples behind `totals`, which are binned by `edges`; each level of a tree is one pass over them."""
+        width, features = 33, len(self.edges)
+        _, good, n = totals(lambda part: (np.zeros(1, int), np.array([part.good.sum()]), np.array([part.n.sum()])))
+        p = float(np.clip(good.sum() / n.sum(), 1e-3, 1 - 1e-3))
         self.start = float(np.log(p / (1 - p)))
-        score = np.full(len(y), self.start)
+
+        def slopes(feature: np.ndarray, cut: np.ndarray, level: int) -> Callable[[Part], Sums]:
+            def sums(part: Part) -> Sums:
+                prob = 1 / (1 + np.exp(-part.scored(self)))
+                g, h = part.good * UNIT - part.n * np.rint(prob * UNIT), part.n * np.rint(prob * (1 - prob) * UNIT)
+                at, size = self.leaf(part.bins, feature, cut, level) * width, width << level
+                gs, hs = (np.stack([np.bincount(at + part.bins[:, f], w, size) for f in range(features)]).reshape(-1) for w in (g, h))
+                keys = np.flatnonzero(hs + np.abs(gs))
+                return keys, gs[keys], hs[keys]
+
+            return sums
+
         for _ in range(self.trees):
-            prob = 1 / (1 + np.exp(-score))
-            g, h = y - prob, prob * (1 - prob) + 1e-9
             feature, cut = np.zeros((1 << self.depth) - 1, int), np.full((1 << self.depth) - 1, width)
-            at = np.zeros(len(y), int)
+            values = np.zeros((0, 2))
             for level in range(self.depth):
                 first, count = (1 << level) - 1, 1 << level
-                best = np.full(count, 1e-6)
-                for f in range(x.shape[1]):
-                    key = (at - first) * width + bins[:, f]
-                    gs = np.bincount(key, weights=g, minlength=count * width).reshape(count, width).cumsum(axis=1)
-                    hs = np.bincount(key, weights=h, minlength=count * width).reshape(count, width).cumsum(axis=1)
-                    gain = gs**2 / (hs + 1) + (gs[:, -1:] - gs) ** 2 / (hs[:, -1:] - hs + 1) - gs[:, -1:] ** 2 / (hs[:, -1:] + 1)
-                    top = gain.argmax(axis=1)
-                    better = gain[np.arange(count), top] > best
-                    best = np.where(better, gain[np.arange(count), top], best)
-                    feature[first : first + count][better], cut[first : first + count][better] = f, top[better]
-                at = 2 * at + 1 + (bins[np.arange(len(y)), feature[at]] > cut[at])
-            leaf = at - ((1 << self.depth) - 1)
-            n = 1 << self.depth
-            values = self.rate * np.bincount(leaf, weights=g, minlength=n) / (np.bincount(leaf, weights=h, minlength=n) + 1)
-            self.nodes.append((feature, cut, values))
-            score += values[leaf]
+                keys, *sums = totals(slopes(feature, cut, level))
+                gs, hs = np.zeros((2, features * count * width))
+                gs[keys], hs[keys] = sums[0] / UNIT, sums[1] / UNIT
+                # by node, feature and bin
+                gs, hs = (s.reshape(features, count, width).swapaxes(0, 1).cumsum(axis=2) for s in (gs, hs))
+                gain = gs**2 / (hs + 1) + (gs[:, :, -1:] - gs) ** 2 / (hs[:, :, -1:] - hs + 1) - gs[:, :, -1:] ** 2 / (hs[:, :, -1:] + 1)
+                gain = gain.reshape(count, -1)
+                top, own = gain.argmax(axis=1), np.arange(count)
+                better = gain[own, top] > 1e-6
+                f, b = np.where(better, top // width, 0), np.where(better, top % width, width)
+                feature[first : first + count], cut[first : first + count] = f, b
+                left = [s[own, f, np.minimum(b, width - 1)] for s in (gs, hs)]
+                sides = [np.stack([part, s[:, 0, -1] - part], axis=1) for part, s in zip(left, (gs, hs))]
+                values = self.rate * sides[0] / (sides[1] + 1)
+            self.nodes.append((feature, cut, values.reshape(-1)))
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probability of each row."""
-        bins, rows = self._bins(x), np.arange(len(x))
-        score = np.full(len(x), self.start)
-        for feature, cut, values in self.nodes:
-            at = np.zeros(len(x), int)
-            for _ in range(self.depth):
-                at = 2 * at + 1 + (bins[rows, feature[at]] > cut[at])
-            score += values[at - ((1 << self.depth) - 1)]
-        return 1 / (1 + np.exp(-score))
+        return 1 / (1 + np.exp(-Part(x, np.zeros(0), np.zeros(0)).scored(self)))
 
 
 @dataclass
@@ -279,46 +326,108 @@ class Taken:
         self.ends.insert(i, end)
 
 
-def train(docs: DataFrame, most_docs: int = 20_000, most_candidates: int = 50_000, least_precision: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> PiiModel:
-    """Fit on at most `most_candidates` examples of about `most_docs` documents (those with the smallest hash), read whole.
+def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """test, x (features as 32-bit integers), good, n: the distinct examples of each slice of the texts."""
+    for batch in (part for whole in batches for part in slices(whole, "text")):
+        counts: dict[tuple[bool, bytes], list[int]] = {}
+        for test, text in zip(batch.column("test").to_pylist(), batch.column("text").to_pylist()):
+            for good, x in examples(text) if text else ():
+                of = counts.setdefault((test, np.array(x, dtype="<i4").tobytes()), [0, 0])
+                of[0] += good
+                of[1] += 1
+        columns = zip(*((*key, *of) for key, of in counts.items())) if counts else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.binary(), pa.int64(), pa.int64()))], names=["test", "x", "good", "n"])
+
+
+def _part(batches: list[pa.RecordBatch]) -> Part:
+    held = pa.Table.from_batches(batches)
+    x = np.frombuffer(b"".join(held.column("x").to_pylist()), dtype="<i4").reshape(-1, len(FEATURE_NAMES))
+    return Part(x, held.column("good").to_numpy().astype(float), held.column("n").to_numpy().astype(float))
+
+
+def _totals(rows: DataFrame, most_held: int) -> Totals:
+    """Totals over a stored table of examples: held by the driver if it has up to `most_held` rows, else a Spark job for each."""
+    if rows.count() <= most_held:
+        part = _part(rows.toArrow().to_batches() or [pa.RecordBatch.from_pylist([], pa.schema([("x", pa.binary()), ("good", pa.int64()), ("n", pa.int64())]))])
+        return lambda sums: sums(part)
+
+    def totals(sums: Callable[[Part], Sums]) -> Sums:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    held.append(batch)
+                    size += batch.num_rows
+                if size and (batch is None or size >= 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in sums(_part(held))], names=["key", "a", "b"])
+                    held, size = [], 0
+
+        summed = rows.mapInArrow(run, "key long, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+        return tuple(summed.column(c).to_numpy() for c in ("key", "a", "b"))
+
+    return totals
+
+
+def _values(part: Part) -> Sums:
+    """How often each feature has each value: keys feature * 2^32 + value."""
+    found = [np.unique(column, return_inverse=True) for column in part.x.T]
+    keys = np.concatenate([(i << 32) + values.astype(np.int64) for i, (values, _) in enumerate(found)])
+    n = np.concatenate([np.bincount(at, part.n, len(values)) for values, at in found])
+    return keys, n, np.zeros(len(n))
+
+
+def quantiles(values: np.ndarray, n: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """As np.quantile of the values, each repeated n times."""
+    order = np.argsort(values)
+    values, ends = values[order], np.cumsum(n[order])
+    place = shares * (ends[-1] - 1)
+    low, high = (values[np.searchsorted(ends, at, side="right")] for at in (np.floor(place), np.ceil(place)))
+    return low + (high - low) * (place - np.floor(place))
+
+
+def train(docs: DataFrame, least_precision: float = 0.99, id_col: str = "doc_id", text_col: str = "text", most_held: int = 300_000) -> PiiModel:
+    """Fit on all examples of all documents, read whole.
 
     Examples are rule spans, and the same spans rewritten in their place into the forms that rules miss; counterexamples are
     candidates and rewritten spans that fail a check of their kind or stand in a number or identifier. What is neither
-    teaches nothing. Four fifths of the documents teach the trees; on the others each kind's threshold is set to the
-    least score from which on the share of examples is at least `least_precision`. A kind without such a score, or
-    with under ten held-out examples over it, adds nothing. Null texts teach nothing; without rows nothing is added.
+    teaches nothing. Four fifths of the documents, by a hash of the id, teach the bins and trees; on all others each kind's threshold
+    is set to the least of CELLS steps from which on the share of examples is at least `least_precision`. A kind without such a
+    step, or with under ten held-out examples over it, adds nothing. Null texts teach nothing; without rows nothing is added.
+
+    Equal examples are stored as one with its counts. Up to `most_held` of them are held by the driver; beyond, each pass of the
+    fit is a Spark job over the stored table, with the same model: all sums are of whole numbers.
     """
-    total = docs.count()
     nothing = PiiModel(None, dict.fromkeys(KINDS, 2.0))
-    if not total:
-        return nothing
     small_batches(docs.sparkSession)
-    grid = 1_000_000
-    place = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(grid))
-    chosen = docs.where(place < min(grid, -(-grid * most_docs // total))).select((place % 5 == 0).alias("test"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            rows = []
-            for test, text in zip(batch.column("test").to_pylist(), batch.column("text").to_pylist()):
-                if not text:
-                    continue
-                rows += [(test, good, x) for good, x in examples(text)]
-            test, good, x = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(test, pa.bool_()), pa.array(good, pa.bool_()), pa.array(x, pa.list_(pa.float64()))], names=["test", "good", "x"])
-
-    rows = chosen.mapInArrow(run, "test boolean, good boolean, x array<double>").orderBy(F.xxhash64("x"), "good").limit(most_candidates).collect()
-    x, y, test = np.array([r.x for r in rows], dtype=float), np.array([r.good for r in rows], dtype=float), np.array([bool(r.test) for r in rows], dtype=bool)
-    if len(set(y[~test].tolist())) < 2:
+    space = Workspace(docs.sparkSession, "pii")
+    place = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1_000_000))
+    texts = docs.select((place % 5 == 0).alias("test"), F.col(text_col).cast("string").alias("text"))
+    found = texts.mapInArrow(lean(_taught), "test boolean, x binary, good long, n long").groupBy("test", "x").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    rows = space.write(found, "examples", "snappy")
+    teaching, held_out = (_totals(rows.where(side).select("x", "good", "n"), most_held) for side in ("NOT test", "test"))
+    _, good, n = teaching(lambda part: (np.zeros(1, int), np.array([part.good.sum()]), np.array([part.n.sum()])))
+    if not 0 < good.sum() < n.sum():
+        space.drop("examples")
         return nothing
-    trees = BoostedTrees().fit(x[~test], y[~test])
-    score, thresholds = trees.predict(x[test]) if test.any() else np.zeros(0), {}
+    keys, times, _ = teaching(_values)
+    shares = np.linspace(0, 1, 33)[1:-1]
+    trees = BoostedTrees(edges=[np.unique(quantiles(keys[own] - (i << 32), times[own], shares)) for i in range(len(FEATURE_NAMES)) for own in [keys >> 32 == i]]).grow(teaching)
+
+    def cells(part: Part) -> Sums:
+        at = part.x[:, : len(KINDS)].argmax(axis=1) * (CELLS + 1) + (CELLS / (1 + np.exp(-part.scored(trees)))).astype(int)
+        good, n = (np.bincount(at, w, len(KINDS) * (CELLS + 1)) for w in (part.good, part.n))
+        seen = np.flatnonzero(n)
+        return seen, good[seen], n[seen]
+
+    keys, good, n = held_out(cells)
+    space.drop("examples")
+    thresholds = {}
     for i, kind in enumerate(KINDS):
-        own = x[test][:, i] == 1 if test.any() else np.zeros(0, bool)
-        order = np.argsort(-score[own], kind="stable")
-        right = np.cumsum(y[test][own][order]) / np.arange(1, len(order) + 1)
-        fit = np.flatnonzero(right >= least_precision)
-        thresholds[kind] = float(max(score[own][order][fit[-1]], 0.5)) if len(fit) and fit[-1] >= 9 else 2.0
+        own = np.flatnonzero(keys // (CELLS + 1) == i)
+        own = own[np.argsort(-keys[own])]
+        above = np.cumsum(n[own])
+        fit = np.flatnonzero(np.cumsum(good[own]) >= least_precision * above)
+        thresholds[kind] = float(max(keys[own][fit[-1]] % (CELLS + 1) / CELLS, 0.5)) if len(fit) and above[fit[-1]] >= 10 else 2.0
     return PiiModel(trees, thresholds)
 
 
