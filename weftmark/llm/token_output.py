@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, small_batches, spread, table
+from .common import Workspace, lean, slices, small_batches, spread, table
 from .tokens import public_path, tokenizer
 
 SCALE_BITS, LANES, CHECKPOINT_STEPS, LOW = 18, 4096, 128, 1 << 31
@@ -134,7 +134,7 @@ class Coder:
 
 def _tokenise(path: str, kind: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokenizer(path, kind)
+        known = tokenizer(path, kind, 300_000)
         end = np.array([end_id], dtype=known.dtype).tobytes()
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, kind: st
     known = tokenizer(path, kind)
     dtype, size = known.dtype.str, max(known.tokenizer.get_vocab_size(), end_id + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = space.write(rows.mapInArrow(_tokenise(path, kind, end_id), "doc_id long, ids binary"), "ids")
+    ids = space.write(rows.mapInArrow(lean(_tokenise(path, kind, end_id)), "doc_id long, ids binary"), "ids")
     counts = np.zeros(size, dtype=np.int64)
     for row in ids.select("ids").mapInArrow(_count(dtype, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most a row for each id of the vocabulary
         counts[row.id] = row.n
