@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def _cell_links(similarity: float):
     """Edges that join what the similar pairs of each cell join, from rows sorted by cell, documents before pairs.
 
     A document is a row (group, i, j, a, null, grams), a candidate pair a row (group, i, j, a, b, null). Cells of large buckets,
-    which have no candidate pairs, compare all their documents. At most documents - 1 edges a cell.
+    which have no candidate pairs yet, seek them among all their documents by the same chains and Hamming check. At most documents - 1 edges a cell.
     """
 
     def same(batch: pa.RecordBatch) -> np.ndarray:
@@ -128,9 +129,17 @@ def _close(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _all_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Edges that join what the similar ones of all pairs join."""
+    """Edges that join what the similar ones of all pairs join: pairs that their fingerprints' chains let be similar, then verified."""
     order = np.argsort(ids, kind="stable")
-    ids, near = ids[order], _close([sets[i] for i in order], similarity)
+    ids, sets = ids[order], [sets[i] for i in order]
+    one, other = _near_prints(sets, similarity)
+    used, place = np.unique(np.concatenate([one, other]), return_inverse=True)
+    if not len(used):
+        return [], []
+    one, other = place[: len(one)], place[len(one) :]
+    ids, met = ids[used], np.zeros((len(used), len(used)), dtype=bool)
+    met[one, other] = True
+    near = _close([sets[i] for i in used], similarity) & met
     label = np.arange(len(ids))
     for i in range(1, len(ids)):
         roots = np.unique(label[np.flatnonzero(near[i, :i])])
@@ -141,22 +150,64 @@ def _all_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tu
     return ids[far].tolist(), ids[label[far]].tolist()
 
 
-def widest(similarity: float, deviations: float = 6.0) -> int:
-    """Bits by which fingerprints of two sets of the similarity differ at most, by so many standard deviations.
+def _near_prints(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (later, earlier) of sets whose sizes and fingerprints let them be similar, some 200,000 pairs at a time."""
+    prints, sizes = np.array([simhash_of(s.view(np.uint64)) for s in sets], dtype=np.uint64), np.array([len(s) for s in sets])
+    found, start, rows = [], 0, max(1, 200_000 // len(sets))
+    while start < len(sets):
+        stop = min(len(sets), start + rows)
+        one, other = np.tril_indices(stop - start, start - 1, stop)
+        one = one + start
+        near = np.minimum(sizes[one], sizes[other]) >= similarity * np.maximum(sizes[one], sizes[other]) - _SLACK
+        one, other = one[near], other[near]
+        alive = _alive(prints[one], prints[other], np.minimum(sizes[one], sizes[other]), similarity)
+        found.append((one[alive], other[alive]))
+        start = stop
+    return tuple(np.concatenate(side) for side in zip(*found))
 
-    A bit differs with the angle between the sets over pi; the cosine of two sets is at least 2s / (1 + s) at similarity s.
+
+def widest(similarity: float, deviations: float = 6.0, least: int = 1 << 20) -> int:
+    """Bits by which fingerprints of two sets of the similarity and of `least` members or more differ at most, by so many standard deviations.
+
+    A bit differs with the angle between the sets over pi, if they are large; the cosine of two sets is at least 2s / (1 + s) at
+    similarity s. Of small sets, in which a tie of the members is likely, a bit differs more often, at most as in _differs().
     """
-    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differs = max([math.acos(2 * similarity / (1 + similarity)) / math.pi, *(_differs(similarity, n) for n in range(least, SMALL))])
     return min(64, math.ceil(64 * differs + deviations * math.sqrt(64 * differs * (1 - differs))))
 
 
-def _pairs(similarity: float, ring: int = 8):
+#: Sets of fewer members have a wider bound on the bits by which they differ.
+SMALL = 16
+
+
+@cache
+def _differs(similarity: float, least: int) -> float:
+    """The largest share of bits by which a set of `least` members and a similar one of as many or more are expected to differ."""
+    over = lambda have, more, size: sum(math.comb(more, k) for k in range(more + 1) if 2 * (have + k) > size) / 2**more
+    worst = 0.0
+    for size in range(least, int(least / similarity + _SLACK) + 1):
+        both = math.ceil(similarity * (least + size) / (1 + similarity) - _SLACK)
+        for shared in range(both, least + 1):
+            sides = [(math.comb(shared, k) / 2**shared, over(k, least - shared, least), over(k, size - shared, size)) for k in range(shared + 1)]
+            worst = max(worst, sum(p * (a * (1 - b) + b * (1 - a)) for p, a, b in sides))
+    return worst
+
+
+def _alive(a: np.ndarray, b: np.ndarray, least: np.ndarray, similarity: float, ring: int = 8) -> np.ndarray:
+    """Which pairs of fingerprints keep, from some start, the budgets of the chains and of all bits; `least` are sizes of the smaller sets."""
+    alive, parts = np.zeros(len(a), dtype=bool), segments(ring)
+    for few, bound in ((True, 1), (False, SMALL)):
+        own = np.flatnonzero((least < SMALL) == few)
+        alive[own] = within(a[own], b[own], parts, widest(similarity, least=bound))
+    return alive
+
+
+def _pairs(similarity: float):
     """(a, b) of each bucket's members whose sizes, places of the shingle and fingerprints let them be similar.
 
     The first shingle in order that two sets share is in both followed by all else that they share, so they emerge from its bucket
     though other buckets, where too few shingles follow, leave them out.
     """
-    parts, distance = segments(ring), widest(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +226,7 @@ def _pairs(similarity: float, ring: int = 8):
                 near = (ids[i] != ids[j]) & (np.minimum(grams[i], grams[j]) >= similarity * np.maximum(grams[i], grams[j]) - _SLACK)
                 near &= np.minimum(left[i], left[j]) * (1 + similarity) >= similarity * (grams[i] + grams[j]) - 1e-6
                 i, j = i[near], j[near]
-                alive = within(prints[i], prints[j], parts, distance)
+                alive = _alive(prints[i], prints[j], np.minimum(grams[i], grams[j]), similarity)
                 i, j = i[alive], j[alive]
                 found = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
@@ -228,8 +279,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     segments and by Hamming distance (see widest()), and the others verified by their whole sets: a set is moved once for the group of
     documents that candidate pairs join, not once a pair. A group of over `block_grams` shingles or `block_pairs` pairs is cut
     into blocks of documents, and a set is moved to each two blocks between which its document has pairs. A bucket of over
-    `bucket_most` documents is cut into blocks of about `block` documents or `block_grams` shingles, each two of which are compared
-    in one task that returns fewer edges than it has documents; see _hot_cells(). Rows without an id or without words join
+    `bucket_most` documents is cut into blocks of about `block` documents or `block_grams` shingles, each two of which are pruned by
+    the same chains and verified in one task that returns fewer edges than it has documents; see _hot_cells(). Rows without an id or without words join
     nothing; rows that share an id are one document that has a copy of each of their texts.
     """
     spark = docs.sparkSession
