@@ -1,11 +1,38 @@
-"""Connected components by alternating large-star and small-star steps, without driver-side edges."""
+"""Connected components without driver-side edges: of few edges in one task, of more by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_uneven
+from .common import Workspace, join_uneven, lean
+
+#: Edges, of 16 bytes each, that one task joins. A round over more of them is some 17 stages, whose tasks the driver keeps records
+#: of: with 211 partitions that is 2,300 tasks, however few the edges.
+ONE_TASK_MOST = 250_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (a, b), by union-find towards the smallest node."""
+    held = [np.stack([batch.column(c).to_numpy() for c in ("a", "b")]) for batch in batches]
+    if not held:
+        return
+    nodes, place = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    one, other = place.reshape(2, -1).tolist()
+    label = list(range(len(nodes)))
+    for p, q in zip(one, other):
+        while label[p] != p:
+            label[p] = p = label[label[p]]
+        while label[q] != q:
+            label[q] = q = label[label[q]]
+        label[max(p, q)] = min(p, q)
+    for i, up in enumerate(label):  # labels are never larger than their nodes, so those before are settled
+        label[i] = label[up]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
 
 
 def _large(edges: DataFrame, total: int) -> DataFrame:
@@ -21,16 +48,20 @@ def _small(edges: DataFrame, total: int) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, space: Workspace, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, space: Workspace, name: str = "components", most_rounds: int = 60, one_task_most: int = ONE_TASK_MOST) -> DataFrame:
     """(node, component) for each node of edges(a, b), component being the smallest node reachable.
 
     Loops (a = b), repeated and reversed edges do no harm; rows with a null end are dropped; no edges give
-    no rows. Each round is written to the shared folder, so that a lost executor costs one round at most,
-    and the loop ends when a round changes nothing.
+    no rows. Up to `one_task_most` edges are joined in one task, with the same result. Of more, each round is written to the
+    shared folder, so that a lost executor costs one round at most, and the loop ends when a round changes nothing.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     edges = space.write(edges, f"{name}-edges")
     total = edges.count()
+    if total <= one_task_most:
+        found = space.write(edges.coalesce(1).mapInArrow(lean(_joined), "node long, component long"), f"{name}-all", "snappy")
+        space.drop(f"{name}-edges")
+        return found
     now, sign = space.write(_small(edges, total), f"{name}-0"), None
     for i in range(1, most_rounds + 1):
         large = space.write(_large(now, total), f"{name}-large-{i}")
