@@ -33,7 +33,10 @@ def test_parts_of_one_split_are_dealt_out(spark):
     assert parts.rdd.getNumPartitions() >= 4 and max(sizes) < sum(sizes) / 2
 
 
-@pytest.mark.parametrize("name", ["auto_fix"])
+NAMED = "auto_fix button_name".split()
+
+
+@pytest.mark.parametrize("name", NAMED)
 def test_what_is_parsed_is_dealt_out(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
     plan = plan[plan.index("== Optimized") :]
