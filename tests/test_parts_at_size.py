@@ -33,7 +33,7 @@ def test_parts_of_one_split_are_dealt_out(spark):
     assert parts.rdd.getNumPartitions() >= 4 and max(sizes) < sum(sizes) / 2
 
 
-NAMED = "auto_fix button_name class_clusters file_rollup run_fails severity_floor helper_recommended inline_style input_label severity_totals top_occurrences finding_filter image_alt severity_rollup link_name tailwind_arbitrary".split()
+NAMED = "auto_fix button_name class_clusters file_rollup run_fails severity_floor helper_recommended inline_style input_label severity_totals top_occurrences finding_filter image_alt severity_rollup link_name tailwind_arbitrary raw_color".split()
 
 
 @pytest.mark.parametrize("name", NAMED)
